@@ -1,0 +1,28 @@
+"""Sub-word model fixture.
+
+The reference downloads a pretrained SentencePiece model; offline there is
+none, so a small unigram model is trained on a bounded sample of the corpus
+(the sample size is the feature here: a tokenizer model is fitted on a sample)
+and written next to the other scratch outputs.
+"""
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+from petrel.operators.subword import train_fixture_model
+from petrel.plans.fixtures import table
+from petrel.session import local_path, scratch_dir
+
+SAMPLE_DOCS = 200     # documents in the training sample
+VOCAB_SIZE = 500
+
+
+def fixture_model(spark: SparkSession, sf_dir: str) -> str:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a bounded sample of whole documents: the first ones in id order
+    sample = docs.orderBy("doc_id").limit(SAMPLE_DOCS).select("text").toPandas()
+    folder = local_path(scratch_dir(spark, "subword-model"))
+    os.makedirs(folder, exist_ok=True)
+    return train_fixture_model(sample["text"], os.path.join(folder, "fixture"), VOCAB_SIZE)
