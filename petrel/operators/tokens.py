@@ -30,8 +30,16 @@ def tokenize(df: DataFrame, col: str, out: str = "tokens", pattern: str = T.WS)
 def corpus_tokens(df: DataFrame, text: str = "text", out: str = "tokens",
                   stop: Iterable[str] | DataFrame | None = None, min_chars: int = 1,
                   newline_repl: str = " ", key: str = "doc_id") -> DataFrame:
-    """Cleaning chain + tokenisation + stop words + length filter in one projection."""
-    toks = df.withColumn(out, A.tokenize(T.corpus_text(F.col(text), newline_repl)))
+    """Cleaning chain + tokenisation + stop words + length filter in one projection.
+
+    With the default blank for the literal newline the fused form of the chain
+    is used (see ``corpus_words_text``); it yields the same words.
+    """
+    if newline_repl == " ":
+        words = A.tokenize(T.corpus_words_text(F.col(text)), T.CORPUS_SEPARATORS)
+    else:
+        words = A.tokenize(T.corpus_text(F.col(text), newline_repl))
+    toks = df.withColumn(out, words)
     if stop is not None:
         toks = remove_stop(toks, out, stop, key=key)
     if min_chars:
@@ -50,10 +58,9 @@ def remove_stop(df: DataFrame, tokens: str, stop: Iterable[str] | DataFrame,
     if not isinstance(stop, DataFrame):
         return df.withColumn(tokens, A.drop_listed(tokens, stop))
     words = stop.select(F.col(form).alias("_w")).where(F.col("_w").isNotNull()).distinct()
-    n = words.limit(STOP_INLINE_LIMIT + 1).count()
-    if n <= STOP_INLINE_LIMIT:
-        listed = [r[0] for r in words.collect()]
-        return df.withColumn(tokens, A.drop_listed(tokens, listed))
+    head = words.limit(STOP_INLINE_LIMIT + 1).collect()   # size check and fetch in one job
+    if len(head) <= STOP_INLINE_LIMIT:
+        return df.withColumn(tokens, A.drop_listed(tokens, [r[0] for r in head]))
     return _remove_by_join(df, tokens, words, key)
 
 

@@ -12,10 +12,25 @@ from pyspark.sql import functions as F
 from petrel.operators.index import dense_index
 
 
+def explode_tokens(df: DataFrame, tokens: str, *keep: str, with_pos: bool = False) -> DataFrame:
+    """One row per token (``word``, and ``pos`` if asked).
+
+    The outer form is used on purpose: an inner explode makes the optimizer
+    infer ``size(tokens) > 0`` and push it below the input exchange, which
+    would evaluate the whole cleaning chain twice.  Empty arrays give one null
+    row, dropped right after the generator.
+    """
+    if with_pos:
+        ex = df.select(*keep, F.posexplode_outer(tokens).alias("pos", "word"))
+    else:
+        ex = df.select(*keep, F.explode_outer(tokens).alias("word"))
+    return ex.where(F.col("word").isNotNull())
+
+
 def word_counts(df: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(word, cnt, first_doc, first_pos): one hash aggregation with map-side
     partial aggregation, so Zipf-heavy words collapse before the shuffle (V1)."""
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
+    ex = explode_tokens(df, tokens, key, with_pos=True)
     return (ex.groupBy("word")
             .agg(F.count(F.lit(1)).alias("cnt"),
                  F.min(F.struct(F.col(key).alias("d"), F.col("pos").alias("p"))).alias("_first"))
@@ -33,7 +48,7 @@ def build_vocab(counts: DataFrame, oov: bool = True) -> DataFrame:
 
 def doc_freq(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(word, doc_count): number of documents containing the word (V3)."""
-    return (df.select(F.explode(F.array_distinct(tokens)).alias("word"))
+    return (explode_tokens(df.select(F.array_distinct(tokens).alias("_d")), "_d")
             .groupBy("word").agg(F.count(F.lit(1)).alias("doc_count")))
 
 

@@ -20,6 +20,7 @@ from petrel.operators import bars as B
 from petrel.operators import tokens as T
 from petrel.operators import vocab as V
 from petrel.operators.index import dense_index
+from petrel.sources.readers import spread
 
 STOP_TOP = 20          # stop table = this many most frequent benchmark words
 NUM_WORDS = 5000       # vocabulary cap (exclusive index bound)
@@ -28,8 +29,15 @@ N_CLASSES = 3          # classes per pseudo-model
 SPECIALS = ["[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]"]  # fixed: sub-word vocab head
 
 
+# Text tables: per-row work is heavy, so they are spread by key when the scan
+# is narrower than the cluster (see ``petrel.sources.readers.spread``).
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    key = TEXT_KEYS.get(name)
+    return spread(df, key) if key else df
 
 
 def stop_table(spark: SparkSession, sf_dir: str, n: int = STOP_TOP) -> DataFrame:

@@ -18,6 +18,21 @@ CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8"}
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-partition by ``key`` only when the scan yields fewer partitions than
+    the cluster can run at once (e.g. a corpus stored as one row group).
+
+    A wide input is returned unchanged, so at scale this adds no shuffle; a
+    narrow one pays one shuffle of the raw rows so that the per-row text work
+    runs on every core.  The explicit partition count keeps AQE from merging
+    the partitions back.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, F.col(key))
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA,
                 null_tokens: Sequence[str] = ()) -> DataFrame:
     """UTF-8 CSV with a header and quoted multi-line text.
