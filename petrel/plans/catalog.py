@@ -350,7 +350,8 @@ def _nb_predict(train_tok, vocab, num_words):
 
 def model_nb_counts(spark, sf):
     toks = X.with_category(spark, X.doc_tokens(spark, sf), sf)
-    train = X.labelled(spark, toks, sf)
+    # the labelled tokens feed the vocabulary and the fit: tokenise once
+    train = X.labelled(spark, toks, sf).checkpoint()
     vocab = V.build_vocab(V.word_counts(train))
     predict = _nb_predict(train, vocab, NUM_WORDS)
     test = X.unlabelled(spark, toks, sf)
@@ -359,7 +360,7 @@ def model_nb_counts(spark, sf):
 
 def _train_valid(spark, sf):
     toks = X.with_category(spark, X.doc_tokens(spark, sf), sf)
-    lab = I.tail_split(X.labelled(spark, toks, sf), "doc_id", 0.2)
+    lab = I.tail_split(X.labelled(spark, toks, sf), "doc_id", 0.2).checkpoint()
     return lab.filter(F.col("split") == "train"), lab.filter(F.col("split") == "valid")
 
 
