@@ -16,22 +16,27 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Length histogram with ``bins`` equal bins over [min, max], the last bin
     closed on the right; every bin is returned, empty ones with 0 (A2).
 
-    Bin = floor((x - min) * bins / (max - min)) in integer arithmetic, capped at
-    bins - 1.  When max = min the range is widened by 0.5 on each side, as
-    ``numpy.histogram`` does, which puts every value in the middle bin.
+    One pass over the corpus: lengths are first counted per distinct length (a
+    table bounded by the longest document) and checkpointed; the range and the
+    bins are derived from that small table, the range projected once as a
+    column so that it is computed once.  Bin = floor((x - min) * bins /
+    (max - min)), capped at bins - 1; when max = min the range is widened by
+    0.5 on each side, as ``numpy.histogram`` does.
     """
     spark = df.sparkSession
-    lens = df.select(F.size(col).cast("long").alias("x"))
-    mm = lens.agg(F.min("x").alias("mn"), F.max("x").alias("mx"))
-    mn, mx = mm.select("mn").scalar(), mm.select("mx").scalar()
+    per_len = (df.groupBy(F.size(col).cast("long").alias("x"))
+               .agg(F.count(F.lit(1)).alias("n")).checkpoint())
+    rng = per_len.agg(F.struct(F.min("x").alias("mn"), F.max("x").alias("mx"))).scalar()
+    mn, mx = F.col("_r.mn"), F.col("_r.mx")
     same = mx == mn
     b = F.lit(bins).cast("long")
     idx = F.when(same, F.lit(bins // 2).cast("long")).otherwise(
         F.least(F.floor((F.col("x") - mn) * b / (mx - mn)).cast("long"), b - F.lit(1)))
-    counts = lens.groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = (per_len.withColumn("_r", rng).groupBy(idx.alias("bin"))
+              .agg(F.sum("n").alias("count")))
     lo = F.when(same, mn - F.lit(0.5)).otherwise(mn.cast("double"))
     width = F.when(same, F.lit(1.0)).otherwise((mx - mn).cast("double")) / F.lit(float(bins))
-    allbins = spark.range(bins).select(F.col("id").alias("bin"))
+    allbins = spark.range(bins).select(F.col("id").alias("bin")).withColumn("_r", rng)
     return (allbins.join(counts, "bin", "left")
             .select(F.col("bin").cast("int").alias("bin"),
                     F.round(lo + F.col("bin") * width, 6).alias("lo"),
