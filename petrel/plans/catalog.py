@@ -221,6 +221,11 @@ def vocab_topk(spark, sf):
         "word", F.col("idx").cast("long").alias("idx"))
 
 
+def vocab_size(spark, sf):
+    return V.vocab_size(X.piece_vocab(spark, X.train_vocab(spark, sf))).select(
+        F.col("vocab_size").cast("long"))
+
+
 def vocab_id_gaps(spark, sf):
     vocab = X.train_vocab(spark, sf)
     df = V.doc_freq(_train_tokens(spark, sf)).filter(F.col("doc_count") >= 2)
@@ -504,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "vocab_docfreq": vocab_docfreq,
     "vocab_rare_stats": vocab_rare_stats,
     "vocab_topk": vocab_topk,
+    "vocab_size": vocab_size,
     "vocab_id_gaps": vocab_id_gaps,
     "enc_sequences": enc_sequences,
     "enc_sequences_no_oov": enc_sequences_no_oov,

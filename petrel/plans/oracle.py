@@ -295,6 +295,7 @@ ORACLE_SQL: dict[str, str] = {
                      sum(cnt)::BIGINT AS total_freq,
                      sum(CASE WHEN cnt < {Q.RARE_THRESHOLD} THEN cnt ELSE 0 END)::BIGINT AS rare_freq FROM wc)"""),
     "vocab_topk": with_(DOCS, f"SELECT word, idx FROM vocab WHERE idx < {NW}"),
+    "vocab_size": with_(PIECES, "SELECT count(*) AS vocab_size FROM pv"),
     "vocab_id_gaps": with_(DOCS + """,
         df AS (SELECT word, count(DISTINCT doc_id) AS doc_count FROM train_pos GROUP BY word),
         kept AS (SELECT word AS token, idx AS id FROM vocab WHERE word IN (SELECT word FROM df WHERE doc_count >= 2))""",

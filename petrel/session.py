@@ -59,6 +59,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + f"/petrel-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def publish_file(spark: SparkSession, local_file: str, dest_dir: str) -> str:
+    """Copy a driver-side file into the shared folder (any Hadoop file system)
+    and return its URI, so executors fetch it from shared storage."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    dest = jvm.org.apache.hadoop.fs.Path(dest_dir.rstrip("/") + "/" + os.path.basename(local_file))
+    fs = dest.getFileSystem(conf)
+    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(local_file)), dest)
+    return dest.toString()
+
+
 def local_path(uri: str) -> str:
     """Strip a ``file:`` scheme for Python-side file access (local runs only)."""
     if uri.startswith("file:"):

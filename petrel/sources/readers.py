@@ -73,7 +73,7 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole documents, one row per file."""
-    return spark.read.option("wholetext", "true").text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
