@@ -143,3 +143,21 @@ def test_partition_count_invariance(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(a) == sorted(b)
+
+
+def test_ids_below_cap_and_pad_length(spark):
+    from petrel.functions import arrays as A
+    from petrel.plans import catalog as Q
+    seqs = Q.doc_seqs(spark, SF)
+    bad = seqs.where(F.exists("ids", lambda x: (x >= F.lit(Q.NUM_WORDS)) | (x < F.lit(1)))).count()
+    assert bad == 0
+    lens = seqs.select(F.size(A.pad_pre("ids", 37)).alias("n")).distinct().collect()
+    assert [r["n"] for r in lens] == [37]
+
+
+def test_spread_only_when_narrow(spark):
+    from petrel.sources.readers import spread
+    wide = spark.range(0, 100, 1, 64)
+    assert spread(wide, "id") is wide
+    narrow = spark.range(0, 100, 1, 1)
+    assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
