@@ -27,15 +27,24 @@ def explode_tokens(df: DataFrame, tokens: str, *keep: str, with_pos: bool = Fals
     return ex.where(F.col("word").isNotNull())
 
 
+# First appearance (doc, pos) packed into one decimal(38,0): doc * 2^31 + pos
+# preserves the (doc, pos) order for any long doc id and int position, and a
+# decimal min is hash-aggregatable (a struct min would force a sort aggregate).
+_POS_SPAN = 2 ** 31
+_DEC = "decimal(38,0)"
+
+
 def word_counts(df: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(word, cnt, first_doc, first_pos): one hash aggregation with map-side
     partial aggregation, so Zipf-heavy words collapse before the shuffle (V1)."""
     ex = explode_tokens(df, tokens, key, with_pos=True)
+    span = F.lit(_POS_SPAN).cast(_DEC)
+    first = F.col(key).cast(_DEC) * span + F.col("pos").cast(_DEC)
     return (ex.groupBy("word")
-            .agg(F.count(F.lit(1)).alias("cnt"),
-                 F.min(F.struct(F.col(key).alias("d"), F.col("pos").alias("p"))).alias("_first"))
+            .agg(F.count(F.lit(1)).alias("cnt"), F.min(first).alias("_first"))
             .select("word", "cnt",
-                    F.col("_first.d").alias("first_doc"), F.col("_first.p").alias("first_pos")))
+                    F.floor(F.col("_first") / span).cast("long").alias("first_doc"),
+                    F.pmod(F.col("_first"), span).cast("int").alias("first_pos")))
 
 
 def build_vocab(counts: DataFrame, oov: bool = True) -> DataFrame:

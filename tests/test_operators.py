@@ -161,3 +161,10 @@ def test_spread_only_when_narrow(spark):
     assert spread(wide, "id") is wide
     narrow = spark.range(0, 100, 1, 1)
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_first_appearance_negative_and_large_ids(spark):
+    df = spark.createDataFrame([(-5, ["x", "y"]), (2 ** 40, ["y", "x", "z"]), (-5, [])],
+                               "doc_id long, tokens array<string>")
+    got = {r["word"]: (r["cnt"], r["first_doc"], r["first_pos"]) for r in V.word_counts(df).collect()}
+    assert got == {"x": (2, -5, 0), "y": (2, -5, 1), "z": (1, 2 ** 40, 2)}
