@@ -112,3 +112,12 @@ def model_input(ids: Column | str, length: int, cls_id: int, sep_id: int, pad_id
     return F.struct(padded.alias("ids"),
                     A.attention_mask(padded, pad_id).alias("mask"),
                     A.pad_post(types, length, 0).alias("segment"))
+
+
+def model_input_padded(ids: Column | str, one_hot: Column | str, pad_id: int = 0) -> Column:
+    """Struct(ids, mask, segment, target) for already padded ids and one-hot
+    labels (E12, second variant): mask per position, all-zero segments, target
+    = first argmax of the one-hot vector."""
+    a = F.col(ids) if isinstance(ids, str) else ids
+    return F.struct(a.alias("ids"), A.attention_mask(a, pad_id).alias("mask"),
+                    A.segments(F.size(a)).alias("segment"), A.argmax(one_hot).alias("target"))

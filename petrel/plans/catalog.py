@@ -311,6 +311,15 @@ def enc_model_input(spark, sf):
         A.join_ints("mi.segment").alias("segment"), "target")
 
 
+def enc_model_input_padded(spark, sf):
+    seqs = doc_seqs(spark, sf, keep_last=PAD_PRE_LEN, carry=("category",))
+    n_cls = seqs.select(F.max("category") + F.lit(1)).scalar()
+    mi = E.model_input_padded(A.pad_pre("ids", PAD_PRE_LEN), A.one_hot("category", F.col("_k"))).alias("mi")
+    return seqs.withColumn("_k", n_cls).select("doc_id", mi).select(
+        "doc_id", A.join_ints("mi.ids").alias("ids"), A.join_ints("mi.mask").alias("mask"),
+        A.join_ints("mi.segment").alias("segment"), F.col("mi.target").cast("long").alias("target"))
+
+
 # --- labels, statistics, split ---------------------------------------------------------------
 
 def lbl_one_hot(spark, sf):
@@ -524,6 +533,7 @@ QUERIES: dict[str, Query] = {
     "enc_token_types": enc_token_types,
     "enc_attention": enc_attention,
     "enc_model_input": enc_model_input,
+    "enc_model_input_padded": enc_model_input_padded,
     "lbl_one_hot": lbl_one_hot,
     "lbl_argmax": lbl_argmax,
     "stat_length": stat_length,

@@ -335,6 +335,12 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT doc_id, {ints('ids')} AS ids,
                    {ints("list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)")} AS mask,
                    {ints(zeros(str(Q.MODEL_LEN)))} AS segment, category::BIGINT AS target FROM mi"""),
+    "enc_model_input_padded": with_(SEQ + f""",
+        mi AS (SELECT s.doc_id, c.category, {pad_pre('s.ids', Q.PAD_PRE_LEN)} AS ids
+               FROM seq s JOIN doc_tok t USING (doc_id) JOIN cats c USING (lang))""",
+        f"""SELECT doc_id, {ints('ids')} AS ids,
+                   {ints("list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)")} AS mask,
+                   {ints(zeros(str(Q.PAD_PRE_LEN)))} AS segment, category::BIGINT AS target FROM mi"""),
     # labels
     "lbl_one_hot": with_("""cats AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS category
                                      FROM (SELECT DISTINCT lang FROM documents)),
