@@ -76,17 +76,19 @@ def encode(df: DataFrame, vocab: DataFrame, num_words: int | None = None, oov: b
 
 
 def pieces_to_ids(df: DataFrame, vocab: DataFrame, unk_id: int, pieces: str = "pieces",
-                  out: str = "ids", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
-    """Sub-word piece -> id, unknown -> ``unk_id`` (E2).  ``vocab``: (token, id)."""
+                  out: str = "ids", key: str = "doc_id", carry: Sequence[str] = (),
+                  bound: int | None = None) -> DataFrame:
+    """Sub-word piece -> id, unknown -> ``unk_id`` (E2).  ``vocab``: (token, id);
+    ``bound``: proven maximum vocabulary size (enables the broadcast)."""
     return lookup_array(df, pieces, vocab, "token", "id", out, key=key,
-                        on_missing="default", default=unk_id, carry=carry)
+                        on_missing="default", default=unk_id, carry=carry, bound=bound)
 
 
 def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "tokens",
-                  key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+                  key: str = "doc_id", carry: Sequence[str] = (), bound: int | None = None) -> DataFrame:
     """Id -> piece; an id outside the vocabulary fails the job."""
     return lookup_array(df, ids, vocab, "id", "token", out, key=key,
-                        on_missing="error", carry=carry)
+                        on_missing="error", carry=carry, bound=bound)
 
 
 def model_input(ids: Column | str, length: int, cls_id: int, sep_id: int, pad_id: int,

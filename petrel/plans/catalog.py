@@ -83,11 +83,11 @@ def doc_seqs(spark, sf, oov=True, keep_last=None, carry=()):
 
 def conv_pairs(spark, sf):
     """(conv_id, turn, a, b): turn t and t+1 of a conversation, both encoded."""
-    conv = _t(spark, sf, "conversations")
-    keyed = conv.select(F.struct(F.col("conv_id"), F.col("turn")).alias("doc_id"), "text")
-    toks = T.corpus_tokens(keyed, stop=X.stop_words(spark, sf))
-    enc = E.encode(toks, X.train_vocab(spark, sf), num_words=NUM_WORDS)
-    enc = enc.select(F.col("doc_id.conv_id").alias("conv_id"), F.col("doc_id.turn").alias("turn"), "ids")
+    conv = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    toks = T.corpus_tokens(conv, stop=X.stop_list(spark, sf), key="conv_id")
+    # keyed by (conv_id, turn): the conv_id partitioning of the input serves the
+    # regrouping and the pair join
+    enc = E.encode(toks, X.train_vocab(spark, sf), num_words=NUM_WORDS, key="conv_id", carry=("turn",))
     nxt = enc.select("conv_id", (F.col("turn") - F.lit(1)).alias("turn"), F.col("ids").alias("b"))
     return enc.withColumnRenamed("ids", "a").join(nxt, ["conv_id", "turn"])
 
@@ -248,7 +248,8 @@ def _pieces(spark, sf):
     vocab = X.train_vocab(spark, sf)
     table = X.piece_vocab(spark, vocab)
     toks = X.doc_tokens(spark, sf).select("doc_id", F.col("tokens").alias("pieces"))
-    return E.pieces_to_ids(toks, table, unk_id=0), table
+    bound = NUM_WORDS + len(X.SPECIALS)   # capped words + special tokens
+    return E.pieces_to_ids(toks, table, unk_id=0, bound=bound), table
 
 
 def enc_pieces(spark, sf):
@@ -258,7 +259,7 @@ def enc_pieces(spark, sf):
 
 def enc_inverse(spark, sf):
     ids, table = _pieces(spark, sf)
-    back = E.ids_to_tokens(ids, table)
+    back = E.ids_to_tokens(ids, table, bound=NUM_WORDS + len(X.SPECIALS))
     return _tok_out(back)
 
 
