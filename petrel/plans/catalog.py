@@ -86,8 +86,11 @@ def conv_pairs(spark, sf):
     conv = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
     toks = T.corpus_tokens(conv, stop=X.stop_list(spark, sf), key="conv_id")
     # keyed by (conv_id, turn): the conv_id partitioning of the input serves the
-    # regrouping and the pair join
-    enc = E.encode(toks, X.train_vocab(spark, sf), num_words=NUM_WORDS, key="conv_id", carry=("turn",))
+    # regrouping; the encoded turns are materialised once and read by both join
+    # sides (a join on (conv_id, turn) stays balanced even when one conversation
+    # is huge, unlike a lead() window partitioned by conv_id)
+    enc = E.encode(toks, X.train_vocab(spark, sf), num_words=NUM_WORDS, key="conv_id",
+                   carry=("turn",)).checkpoint()
     nxt = enc.select("conv_id", (F.col("turn") - F.lit(1)).alias("turn"), F.col("ids").alias("b"))
     return enc.withColumnRenamed("ids", "a").join(nxt, ["conv_id", "turn"])
 
