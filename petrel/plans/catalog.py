@@ -166,8 +166,10 @@ def label_codes(spark, sf):
 def attach_predictions(spark, sf):
     sub = _docs(spark, sf).select("doc_id", F.lit(None).cast("int").alias("category"))
     preds = _t(spark, sf, "labels").select("doc_id", F.col("quality").alias("category"))
+    # rendered as text: documents without a prediction keep a null, which
+    # pandas shows the same way for both engines (a nullable long would not)
     return C.attach(sub, preds, "doc_id", ["category"]).select(
-        "doc_id", F.col("category").cast("long").alias("category"))
+        "doc_id", F.col("category").cast("string").alias("category"))
 
 
 # --- tokens --------------------------------------------------------------------------------

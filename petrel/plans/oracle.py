@@ -268,7 +268,7 @@ ORACLE_SQL: dict[str, str] = {
                                      FROM (SELECT DISTINCT lang FROM documents))""",
                          f"""SELECT d.doc_id, c.category::BIGINT AS category, {CASE_NAMES} AS name
                              FROM documents d JOIN cats c USING (lang)"""),
-    "attach_predictions": """SELECT d.doc_id, l.quality::BIGINT AS category
+    "attach_predictions": """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS category
                              FROM documents d LEFT JOIN labels l USING (doc_id)""",
     # tokens
     "tok_words": with_(f"t AS (SELECT doc_id, {split_sql(corpus_sql('text'))} AS toks FROM documents)",
