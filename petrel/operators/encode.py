@@ -48,12 +48,28 @@ def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str
     elif on_missing == "error":
         val = F.when(val.isNull(), F.raise_error(
             F.concat(F.lit("no table entry for "), F.col("_tok").cast("string")))).otherwise(val)
-    elem = F.when(F.col("_tok").isNotNull() & val.isNotNull(),
-                  F.struct(F.col("_pos"), val.alias("_v")))
+    present = F.col("_tok").isNotNull() & val.isNotNull()
+    if dict(tbl.dtypes)["_val"] == "int":
+        # (pos, value) packed into one long: pos in the high half, the value's
+        # 32 bits in the low half, so a primitive sort restores token order
+        low = F.col("_val_i").cast("long").bitwiseAND(F.lit(_LOW32))
+        packed = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(low)
+        grouped = (joined.withColumn("_val_i", val)
+                   .groupBy(*cols).agg(F.sort_array(F.collect_list(F.when(present, packed))).alias("_s")))
+        return grouped.select(*cols, F.transform("_s", _unpack_int).alias(out))
+    elem = F.when(present, F.struct(F.col("_pos"), val.alias("_v")))
     grouped = joined.groupBy(*cols).agg(F.array_sort(F.collect_list(elem)).alias("_s"))
     return grouped.select(*cols, F.transform("_s", lambda s: s["_v"]).alias(out))
 
 
+_LOW32 = 0xFFFFFFFF
+
+
+def _unpack_int(x):
+    low = x.bitwiseAND(F.lit(_LOW32))
+    return F.when(low >= F.lit(1 << 31), low - F.lit(1 << 32)).otherwise(low).cast("int")
+
+
 def encode(df: DataFrame, vocab: DataFrame, num_words: int | None = None, oov: bool = True,
            tokens: str = "tokens", out: str = "ids", key: str = "doc_id",
            keep_last: int | None = None, carry: Sequence[str] = ()) -> DataFrame:

@@ -168,3 +168,10 @@ def test_first_appearance_negative_and_large_ids(spark):
                                "doc_id long, tokens array<string>")
     got = {r["word"]: (r["cnt"], r["first_doc"], r["first_pos"]) for r in V.word_counts(df).collect()}
     assert got == {"x": (2, -5, 0), "y": (2, -5, 1), "z": (1, 2 ** 40, 2)}
+
+
+def test_lookup_int_values_any_sign(spark):
+    df = spark.createDataFrame([(0, ["a", "b", "c", "a"]), (1, [])], "doc_id long, t array<string>")
+    tbl = spark.createDataFrame([("a", -7), ("b", 2147483647), ("c", -2147483648)], "k string, v int")
+    got = {r["doc_id"]: r["o"] for r in E.lookup_array(df, "t", tbl, "k", "v", "o").collect()}
+    assert got == {0: [-7, 2147483647, -2147483648, -7], 1: []}
