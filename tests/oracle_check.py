@@ -67,8 +67,14 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 and argv[1].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in argv[1:] if not a.startswith("/")]
     import __spark_entry__ as E
-    from petrel.session import get_session
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        # a session with Spark's defaults only, as an outside caller would build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from petrel.session import get_session
+        spark = get_session("local[8]", 8)
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
     report = {}
