@@ -41,18 +41,23 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx",
             .select(*cols, (local + F.col("_off") + F.lit(start)).alias(name)))
 
 
-def tail_split(df: DataFrame, key: str, frac: float = 0.2, name: str = "split",
-               index: str = "_row") -> DataFrame:
+def tail_split(df: DataFrame, key: str, frac: float = 0.2, name: str = "split") -> DataFrame:
     """Hold out the last ``frac`` of rows in ``key`` order.
 
-    The cut is ``floor(n * (1 - frac))``, taken before any shuffling.
+    The cut is ``floor(n * (1 - frac))``, taken before any shuffling.  Only the
+    key column is ranked (the wide rows never move): the key at the cut
+    position becomes a scalar, and every row is labelled by comparing its key
+    with it.  Keys must be unique.
     """
-    indexed = dense_index(df, [key], name=index)
-    n = indexed.select(F.count(F.lit(1))).scalar()
+    ranked = dense_index(df.select(key), [key], name="_row")
+    n = ranked.select(F.count(F.lit(1))).scalar()
     cut = F.floor(n.cast("double") * F.lit(1.0 - frac))
-    return (indexed.withColumn(name, F.when(F.col(index) < cut, F.lit("train"))
-                               .otherwise(F.lit("valid")))
-            .drop(index))
+    first_valid = ranked.where(F.col("_row") >= cut).select(F.min(key)).scalar()
+    fv = F.col("_first_valid")   # projected once, then compared
+    is_train = fv.isNull() | (F.col(key) < fv)
+    return (df.withColumn("_first_valid", first_valid)
+            .withColumn(name, F.when(is_train, F.lit("train")).otherwise(F.lit("valid")))
+            .drop("_first_valid"))
 
 
 def id_gaps(df: DataFrame, id_col: str = "id") -> DataFrame:
