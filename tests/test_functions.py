@@ -82,8 +82,8 @@ def test_squeeze_unicode_space(spark):
 
 def test_strip_accents(spark):
     assert one(spark, strip_accents("s"), [("Éçàñ",)], "s string") == "Ecan"
-    # NFKD leaves Hangul syllables decomposed into jamo
-    assert one(spark, strip_accents("s"), [("가",)], "s string") == "가"
+    # NFKD leaves Hangul syllables decomposed into conjoining jamo (not combining marks)
+    assert one(spark, strip_accents("s"), [("\uac00",)], "s string") == "\u1100\u1161"
 
 
 def test_fused_tokens_equal_chain(spark):
@@ -97,3 +97,13 @@ def test_one_hot_and_softmax(spark):
     r = spark.createDataFrame([(2, [1.0, 1.0])], "y int, v array<double>").select(
         A.one_hot("y", 3).alias("o"), A.softmax("v").alias("s")).first()
     assert r["o"] == [0.0, 0.0, 1.0] and r["s"] == [0.5, 0.5]
+
+
+def test_korean_symbols_and_tokens(spark):
+    assert one(spark, T.symbols_to_space("s"), [("안녕★하세요…!",)], "s string") == "안녕 하세요  "
+    from petrel.operators import tokens as TK
+    df = spark.createDataFrame([(0, "청원합니다. 2020년 <b>교육</b>! 가 좀")], "doc_id long, text string")
+    toks = TK.corpus_tokens(df, stop=TK.SHORT_STOP_WORDS, min_chars=0).first()["tokens"]
+    assert toks == ["청원합니다", "년", "교육"]
+    toks1 = TK.corpus_tokens(df, stop=TK.SHORT_STOP_WORDS, min_chars=1).first()["tokens"]
+    assert toks1 == ["청원합니다", "교육"]
