@@ -430,7 +430,10 @@ def metric_cross_entropy(spark, sf):
 
 def ens_weighted(spark, sf):
     out = N.weighted_vote(X.pseudo_predictions(spark, sf))
-    return out.select("doc_id", F.col("category").cast("long"), "score")
+    # probabilities have 6 decimals and weights 1, so the exact score lies on a
+    # 1e-7 grid: rounding to 6 places would hit exact ties that engines break
+    # differently; 9 places keeps the exact value
+    return out.select("doc_id", F.col("category").cast("long"), F.round("score", 9).alias("score"))
 
 
 def ens_mean_label(spark, sf):

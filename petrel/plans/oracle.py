@@ -390,7 +390,7 @@ ORACLE_SQL: dict[str, str] = {
         cp AS (SELECT doc_id, model, unnest(probs) AS p, generate_subscripts(probs, 1) - 1 AS cls FROM pp),
         sc AS (SELECT cp.doc_id, cp.cls, sum(cp.p * wt.w ORDER BY cp.model) AS s
                FROM cp JOIN wt USING (model) GROUP BY cp.doc_id, cp.cls)""",
-        """SELECT doc_id, cls::BIGINT AS category, round(s, 6) AS score FROM (
+        """SELECT doc_id, cls::BIGINT AS category, round(s, 9) AS score FROM (
              SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, cls) AS r FROM sc) WHERE r = 1"""),
     "ens_mean_label": with_(PSEUDO, f"""SELECT doc_id, round_even(avg({ARGMAX}), 0)::BIGINT AS category
                                         FROM pp GROUP BY doc_id"""),

@@ -16,6 +16,8 @@ import pandas as pd
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
+STRICT = bool(os.environ.get("STRICT_FLOATS"))  # compare doubles bit for bit
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -37,6 +39,8 @@ def canon(v):
             return "∅"
         if v.is_integer():
             return str(int(v))
+        if STRICT:
+            return repr(v)
         return repr(round(v, 6))
     if hasattr(v, "item"):
         return canon(v.item())
