@@ -20,8 +20,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # remove checkpoint files once their DataFrames are unreachable
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
