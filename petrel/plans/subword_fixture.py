@@ -7,14 +7,11 @@ and written next to the other scratch outputs.
 """
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
-from petrel.operators.subword import train_fixture_model
+from petrel.operators.subword import train_fixture_bytes
 from petrel.plans.fixtures import table
-from petrel.session import publish_file, scratch_dir
+from petrel.session import publish_bytes, scratch_dir
 
 SAMPLE_DOCS = 200     # documents in the training sample
 VOCAB_SIZE = 500
@@ -24,8 +21,7 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> str:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     # a bounded sample of whole documents: the first ones in id order
     sample = docs.orderBy("doc_id").limit(SAMPLE_DOCS).select("text").toPandas()
-    # the trainer writes a local file on the driver; it is then published to the
-    # shared scratch folder, from where executors fetch it
-    work = tempfile.mkdtemp(prefix="petrel-sp-")
-    model = train_fixture_model(sample["text"], os.path.join(work, "fixture"), VOCAB_SIZE)
-    return publish_file(spark, model, scratch_dir(spark, "subword-model"))
+    # trained in memory and written straight to the shared scratch folder,
+    # from where executors fetch it (no local temporary file)
+    model = train_fixture_bytes(sample["text"], VOCAB_SIZE)
+    return publish_bytes(spark, model, scratch_dir(spark, "subword-model") + "/fixture.model")

@@ -59,14 +59,17 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return base.rstrip("/") + f"/petrel-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def publish_file(spark: SparkSession, local_file: str, dest_dir: str) -> str:
-    """Copy a driver-side file into the shared folder (any Hadoop file system)
-    and return its URI, so executors fetch it from shared storage."""
+def publish_bytes(spark: SparkSession, data: bytes, dest_file: str) -> str:
+    """Write bytes to a file in the shared folder (any Hadoop file system) from
+    the driver, without a local temporary file; returns the file's URI."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    dest = jvm.org.apache.hadoop.fs.Path(dest_dir.rstrip("/") + "/" + os.path.basename(local_file))
-    fs = dest.getFileSystem(conf)
-    fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(local_file)), dest)
+    dest = jvm.org.apache.hadoop.fs.Path(dest_file)
+    out = dest.getFileSystem(conf).create(dest, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
     return dest.toString()
 
 
