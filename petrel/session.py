@@ -6,9 +6,11 @@ absent -- local runs and tests -- is a folder created here.
 """
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -42,17 +44,55 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; create a local one only if unset."""
+    """Return the session's checkpoint folder.
+
+    A folder is created here only for a ``local`` master.  On a cluster a
+    machine-local folder would be seen by one machine alone, so a missing
+    ``spark.checkpoint.dir`` is an error there.
+    """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf = sc.getConf().get("spark.checkpoint.dir", None)
-    path = conf or tempfile.mkdtemp(prefix="petrel-ckpt-")
-    sc.setCheckpointDir(path)
+    sc.setCheckpointDir(checkpoint_path(sc.getConf().get("spark.checkpoint.dir", None), sc.master))
     return sc.getCheckpointDir()
 
 
+def checkpoint_path(setting: str | None, master: str) -> str:
+    """The folder to use for this setting and master (see above)."""
+    if setting:
+        return setting
+    if master.split("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines share (master {master})")
+    return tempfile.mkdtemp(prefix="petrel-ckpt-")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``petrel`` importable in Python workers, once per application.
+
+    The package's modules are zipped into the shared folder and added to the
+    application's Python files, so workers need neither the repository nor a
+    ``PYTHONPATH``.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, dirs, names in os.walk(root):
+            dirs.sort()
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(publish_bytes(spark, buf.getvalue(), scratch_dir(spark, "package") + "/petrel_package.zip"))
+    _SHIPPED.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
@@ -71,12 +111,3 @@ def publish_bytes(spark: SparkSession, data: bytes, dest_file: str) -> str:
     finally:
         out.close()
     return dest.toString()
-
-
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme for Python-side file access (local runs only)."""
-    if uri.startswith("file:"):
-        uri = uri[len("file:"):]
-        while uri.startswith("//"):
-            uri = uri[1:]
-    return os.path.abspath(uri)
