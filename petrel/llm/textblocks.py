@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from petrel.llm.runtime import column_bytes, ints, squeeze, stored, unints, unsqueeze, wide
 
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, ends binary, body binary"
 MESSAGE_SCHEMA = "block long, bucket int, data binary"
 #: A document without an id is compared as the one with the largest id.
@@ -67,12 +68,13 @@ def _packer() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             while at < len(key):
                 done = ends[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES - size, "right")))
+                to = min(to, at + BLOCK_ROWS - sum(map(len, ids)))
                 ids.append(key[at:to])
                 lens.append(np.diff(ends[at:to], prepend=done))
                 bodies.append(body[done:ends[to - 1]].copy())
                 size += int(ends[to - 1] - done)
                 at = to
-                if size >= BLOCK_BYTES * 3 // 4:
+                if size >= BLOCK_BYTES * 3 // 4 or sum(map(len, ids)) == BLOCK_ROWS:
                     yield row()
         if ids:
             yield row()
