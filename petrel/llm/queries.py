@@ -1,10 +1,20 @@
 """The registered queries: each operator over its whole table, with production parameters."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from petrel.llm import ngram_join, suffix_dedup
-from petrel.llm.runtime import table
+from petrel.llm import bpe, ngram_join, suffix_dedup, token_files
+from petrel.llm.runtime import setup, table
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    folder = token_files.token_folder(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                             folder, end_id=2)
+    return token_files.checksums(spark, folder)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,4 +25,11 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_suffix_dedup, op5_ngram_join)}
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                      public_tokenizers.PATTERN, decoded="decoded", keep=["doc_id"])
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe)}
