@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrel.llm import bpe, ngram_join, suffix_dedup, token_files
+from petrel.llm import bpe, html_text, ngram_join, suffix_dedup, token_files, warc
 from petrel.llm.runtime import setup, table
 
 
@@ -32,4 +32,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe)}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    setup(spark)
+    folder = warc.archive_folder(spark)
+    pages = table(spark, sf_dir, "pages")
+    warc.write_archive(pages, folder)
+    return warc.look_up(pages, folder, with_payload=False).drop("payload")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op7_warc,
+                                  op10_html_text)}

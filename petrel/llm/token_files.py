@@ -125,7 +125,7 @@ class _Writer:
     def __init__(self, uri: str, length: int, kind: np.dtype):
         fs, path = file_system(uri)
         self.schema = file_schema(length, pa.from_numpy_dtype(kind))
-        self.sink = fs.open_output_stream(path)
+        self.sink = fs.open_output_stream(path, compression=None)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.length, self.kind, self.held, self.size, self.total = length, kind, [], 0, 0
 
