@@ -15,11 +15,14 @@ link if 100 * |A & B| >= percent * |A | B|.
     the shared ones fall into one class, and pairs within classes suffice.
     ``c`` depends on the set's size level; a set sends keys for its level and
     the next, as linked sets are at most one level apart.
-*   Candidates are verified on the whole sets.  First each key links its sets
-    to its smallest one; then sets that share a key and still lie in different
-    components are compared pair by pair.  A pair that is not compared is in
-    one component already, so no link is lost, and a group of thousands of
-    near copies costs one comparison per member, not one per pair.
+*   Candidates are verified on the whole sets.  First each key compares its
+    sets with the one whose shingles are most common, which among near copies
+    is the one next to the original; then sets that share a key and still lie
+    in different components are compared pair by pair.  A pair that is not
+    compared is in one component already, so no link is lost, and a group of
+    thousands of near copies costs one comparison per member, not one per pair.
+    Sizes, and how many shingles of a set any other document holds, rule out
+    pairs beforehand.
 
 A null or blank text has an empty set and links with nothing.  A document of
 fewer words than ``words`` has one shingle, its whole sequence.  Documents
@@ -39,7 +42,7 @@ from petrel.llm.textblocks import (MESSAGE, NO_ID, Block, buckets, exchange, mix
                                    run_starts, text_blocks, unpack)
 
 RARE = 4      # class of shingles held by up to 2^RARE documents
-SMALL = 16    # sets below this size use single keys only
+SMALL = 3     # sets below this size use single keys only
 PART = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -185,21 +188,23 @@ def _levels() -> list[int]:
     return out
 
 
-def keys_of(tokens: np.ndarray, per_class: np.ndarray, percent: int, steps: np.ndarray) -> np.ndarray:
-    """The distinct keys of a set: single rare shingles, pairs of frequent ones (see above)."""
+def keys_of(tokens: np.ndarray, per_class: np.ndarray, percent: int,
+            steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a set: single shingles, pairs of frequent ones (see above)."""
     n = len(tokens)
     own, rare = int(per_class[0]), int(per_class[:RARE + 1].sum())
     prefix = n - _least(n, percent) + 1
     here = int(np.searchsorted(steps, n, "right")) - 1
-    out = []
+    none = np.zeros(0, np.uint64)
+    single, pair = [none], [none]
     for level in (here, here + 1):
         low = int(steps[level])
         if low < SMALL:
-            out.append(mix(tokens[own:prefix]))
+            single.append(mix(tokens[own:prefix]))
             continue
-        more = low // 4                                  # extension, and number of classes
+        more = max(1, low // 4)                          # extension, and number of classes
         reach = min(prefix + more, n)
-        out.append(mix(tokens[own:min(rare, reach)]))
+        single.append(mix(tokens[own:min(rare, reach)]))
         often = np.sort(tokens[rare:reach])
         of = mix(often ^ np.uint64(low)) % np.uint64(more)
         order = np.argsort(of, kind="stable")
@@ -208,27 +213,44 @@ def keys_of(tokens: np.ndarray, per_class: np.ndarray, percent: int, steps: np.n
             same = np.flatnonzero(of[gap:] == of[:-gap])
             if not len(same):
                 break
-            out.append(mix(often[same] * _odd(11) + often[same + gap] * _odd(12) + np.uint64(low)))
-    return np.unique(np.concatenate(out))
+            pair.append(mix(often[same] * _odd(11) + often[same + gap] * _odd(12) + np.uint64(low)))
+    return np.unique(np.concatenate(single)), np.unique(np.concatenate(pair))
+
+
+ENTRIES = "key long, row long, n long, u long, s long"
 
 
 def _entries(percent: int):
-    steps = np.array(_levels(), np.int64)
+    """The keys of each set, with its size; how many of its shingles a partner
+    found by the key can share; and a score: the higher, the more common its
+    shingles.
+
+    A set sends pairs only if all its rare shingles are keys, so of two sets
+    that meet at a pair and nowhere else only frequent shingles are shared."""
+    steps, classes = np.array(_levels(), np.int64), np.arange(64)
 
     def run(batches):
         for batch in batches:
-            rows, sizes, keys = [], [], []
+            out = []
             for row, n, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                k = keys_of(*_read(body), percent, steps)
-                keys.append(k.view(np.int64))
-                rows.append(np.full(len(k), row, np.int64))
-                sizes.append(np.full(len(k), n, np.int64))
-            if keys:
+                tokens, per_class = _read(body)
+                common = int((per_class * classes).sum() * 1000 // n)
+                score = common << 40 | row * 0x9E3779B97F4A7C15 >> 20 & (1 << 40) - 1    # no ties
+                for k, left_out in zip(keys_of(tokens, per_class, percent, steps), (1, RARE + 1)):
+                    u = n - int(per_class[:left_out].sum())
+                    out.append((k.view(np.int64), *(np.full(len(k), x, np.int64) for x in (row, n, u, score))))
+            if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in (keys, rows, sizes)], ["key", "row", "n"])
+                    [pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "row", "n", "u", "s"])
     return run
 
 
+def _may_link(percent: int) -> str:
+    """SQL: sets of n and m shingles, of which u and v can be shared, are not ruled out by these numbers."""
+    return (f"{percent} * n <= 100 * m and {percent} * m <= 100 * n and "
+            f"100 * least(u, v) >= {percent} * (n + m - least(u, v))")
+
+
 def _verify(percent: int):
     def run(batches):
         for batch in batches:
@@ -266,21 +288,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = copies.where("row = lead").select("row")
     reps = stored(some.join(firsts, "row", "left_semi").select("row", "n", "body"), "set-firsts")
 
-    entries = stored(reps.mapInArrow(_entries(percent), "key long, row long, n long"), "set-keys")
-    heads = (entries.groupBy("key").agg(F.count("*").alias("k"), F.min("row").alias("a"), F.min_by("n", "row").alias("m"))
-             .where("k > 1"))
-    fits = f"{percent} * n <= 100 * m and {percent} * m <= 100 * n"
-    star = (entries.join(heads, "key").where("a <> row and " + fits)
-            .select("a", F.col("row").alias("b")).distinct())
+    entries = stored(reps.mapInArrow(_entries(percent), ENTRIES), "set-keys")
+    heads = entries.groupBy("key").agg(
+        F.count("*").alias("k"), F.max("s").alias("top"), F.max_by("row", "s").alias("a"),
+        F.max_by("n", "s").alias("m"), F.max_by("u", "s").alias("v")).where("k > 1").drop("k", "top")
+    star = stored(entries.drop("s").join(heads, "key").where("a <> row and " + _may_link(percent))
+                  .select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct(), "set-centres")
     links = stored(_links(star, reps, percent), "set-links")
     first = stored(components(links, "set-stars"), "set-components")
 
-    placed = entries.join(first.withColumnRenamed("id", "row"), "row", "left").select(
-        "key", "row", "n", F.coalesce("component", "row").alias("c"))
+    placed = entries.drop("s").join(first.withColumnRenamed("id", "row"), "row", "left").withColumn(
+        "c", F.coalesce("component", "row")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = placed.join(mixed.select("key"), "key", "left_semi")
-    other = open_.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = (open_.join(other, "key").where("c < d and " + fits)
+    other = open_.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"),
+                         F.col("c").alias("d"))
+    pairs = (open_.join(other, "key").where("c < d and " + _may_link(percent))
              .select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
              .join(star, ["a", "b"], "left_anti"))
     more = _links(pairs, reps, percent)
