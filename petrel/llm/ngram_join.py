@@ -43,7 +43,7 @@ from petrel.llm.textblocks import (MESSAGE, NO_ID, Block, buckets, exchange, mix
 
 RARE = 4      # class of shingles held by up to 2^RARE documents
 SMALL = 3     # sets below this size use single keys only
-PART = 1 << 20
+PART = 1 << 18     # bytes hashed at a time
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)

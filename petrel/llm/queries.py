@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from petrel.llm import bpe, html_text, ngram_join, suffix_dedup, token_files, warc
+from petrel.llm import (ann, bpe, embedding_dedup, html_text, mixing, ngram_join, quality, suffix_dedup, token_files,
+                        warc)
 from petrel.llm.runtime import setup, table
 
 
@@ -17,6 +18,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(spark, folder)
 
 
+#: Sources lie in domains by the remainder of their number; weights of the tree's levels.
+DOMAINS = 4
+LEVELS = ["domain", "lang", "source"]
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.try_to_number(F.regexp_extract("source", "([0-9]+)", 1), F.lit("999999999")).cast("long")
+    return docs.withColumn("domain", F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % DOMAINS).cast("string")))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_domain(table(spark, sf_dir, "documents"))
+    return mixing.mix_sources(docs, LEVELS, WEIGHTS, share=(3, 5), seed=11, max_epochs=4).drop("row_hash")
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -40,9 +61,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.look_up(pages, folder, with_payload=False).drop("payload")
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op7_warc,
-                                  op10_html_text)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op2_mixing, op3_embedding_dedup, op4_suffix_dedup, op5_ngram_join, op6_byte_bpe, op7_warc, op8_ann,
+    op9_quality, op10_html_text)}
