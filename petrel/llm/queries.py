@@ -24,9 +24,9 @@ LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1}}
 
 
-def with_domain(docs: DataFrame) -> DataFrame:
+def with_domain(docs: DataFrame, name: str = "domain") -> DataFrame:
     number = F.try_to_number(F.regexp_extract("source", "([0-9]+)", 1), F.lit("999999999")).cast("long")
-    return docs.withColumn("domain", F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % DOMAINS).cast("string")))
+    return docs.withColumn(name, F.concat(F.lit("d"), (F.coalesce(number, F.lit(0)) % DOMAINS).cast("string")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
