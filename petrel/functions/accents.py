@@ -13,6 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from petrel.functions import text as T
+
 
 def _strip(s: str | None) -> str | None:
     if s is None:
@@ -27,6 +29,23 @@ def _strip_accents_udf(s: pd.Series) -> pd.Series:
 
 
 def strip_accents(col: Column | str, keep_accents: bool = False) -> Column:
-    """NFKD + drop combining marks; identity when ``keep_accents``."""
+    """NFKD + drop combining marks; identity when ``keep_accents``.
+
+    Plain ASCII has nothing to strip; such texts stay in the JVM.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    if keep_accents:
+        return c
+    return F.coalesce(_strip_accents_udf(F.when(c.rlike(r"[^\x00-\x7f]"), c)), c)
+
+
+def piece_text(col: Column | str, lower: bool = False, keep_accents: bool = False,
+               remove_space: bool = True) -> Column:
+    """Text as a sub-word model expects it (T6): spaces squeezed, quotes unified,
+    accents stripped, and only then lower-cased (a compatibility character may
+    decompose into capitals)."""
     c = F.col(col) if isinstance(col, str) else col
-    return c if keep_accents else _strip_accents_udf(c)
+    if remove_space:
+        c = T.squeeze_space(c)
+    c = strip_accents(T.norm_quotes(c), keep_accents)
+    return T.lower(c) if lower else c

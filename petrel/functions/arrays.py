@@ -140,3 +140,11 @@ def softmax(col: Column | str) -> Column:
 def join_ints(col: Column | str, sep: str = ",") -> Column:
     """Render an int array as text (stable across engines for value hashing)."""
     return F.array_join(F.transform(_c(col), lambda x: x.cast("string")), sep)
+
+
+def check_unique(key: str, seen: Column, size: Column) -> Column:
+    """True, or a failed job if more elements were regrouped than one array has:
+    two rows then have the same key and would be mixed."""
+    return F.when(seen > F.greatest(size, F.lit(0)), F.raise_error(
+        F.concat(F.lit("repeated key "), F.coalesce(F.first(F.col(key)).cast("string"), F.lit("null"))))
+        .cast("boolean")).otherwise(F.lit(True))

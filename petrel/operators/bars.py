@@ -12,9 +12,22 @@ CODE_WIDTH = 6  # codes are zero-padded strings, never numbers
 
 
 def as_code(col: Column | str, width: int = CODE_WIDTH) -> Column:
-    """Render a numeric key as a fixed-width code string with leading zeros."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.lpad(c.cast("string"), width, "0")
+    """Render a numeric key as a code string of at least ``width`` digits.
+
+    Leading zeros fill shorter keys; longer keys stay whole, so two keys never
+    share a code.
+    """
+    c = (F.col(col) if isinstance(col, str) else col).cast("string")
+    return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
+
+
+def _tick_order(ts: str, tiebreak: str | None) -> Column:
+    """(ts, tiebreak) as one decimal, which a hash aggregation can hold (a
+    struct would make Spark sort every tick): microseconds, then the id."""
+    at = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)")
+    if not tiebreak:
+        return at
+    return at * F.expr("18446744073709551616BD") + F.coalesce(F.col(tiebreak), F.lit(0)).cast("decimal(20,0)")
 
 
 def build_daily_bars(ticks: DataFrame, code: str = "code", ts: str = "ts",
@@ -25,7 +38,7 @@ def build_daily_bars(ticks: DataFrame, code: str = "code", ts: str = "ts",
     aggregate partially on the map side, so a hot code with a third of all ticks
     is reduced per task before the shuffle.
     """
-    order = F.struct(F.col(ts), F.col(tiebreak)) if tiebreak else F.col(ts)
+    order = _tick_order(ts, tiebreak)
     return (ticks.groupBy(F.col(code).alias("code"), F.to_date(ts).alias("dt"))
             .agg(F.min_by(price, order).alias("open"),
                  F.max(price).alias("high"),

@@ -16,31 +16,26 @@ from pyspark.sql import functions as F
 
 from petrel.functions import arrays as A
 
-# A look-up table whose row count is *proven* (by a cap) to be at most this is
-# broadcast; otherwise the planner decides from statistics and AQE measurements.
-BROADCAST_ROWS = 2_000_000
-
 OOV_ID = 1
 
 
 def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str,
                  out: str, key: str = "doc_id", on_missing: str = "drop",
-                 default: int | None = None, bound: int | None = None,
+                 default: int | None = None,
                  keep_last: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Map every element of ``arr`` through ``table`` (tkey -> tval), in order.
 
     ``on_missing``: "drop" the element, use ``default``, or "error".
     ``keep_last``: only the last n elements are looked up (exact when nothing is
     dropped, e.g. before left truncation to length n).
-    ``bound``: proven upper bound on the table's rows; enables a broadcast.
+    Whether the table is broadcast is left to Spark, which knows its bytes.
+    ``key`` with ``carry`` must be unique: a repeated one fails the job.
     """
     cols = [key, *carry]
     ex = df.select(*cols, F.size(arr).alias("_n"), F.posexplode_outer(arr).alias("_pos", "_tok"))
     if keep_last is not None:
         ex = ex.where(F.col("_tok").isNull() | (F.col("_pos") >= F.col("_n") - F.lit(keep_last)))
     tbl = table.select(F.col(tkey).alias("_tok"), F.col(tval).alias("_val"))
-    if bound is not None and bound <= BROADCAST_ROWS:
-        tbl = F.broadcast(tbl)
     joined = ex.join(tbl, "_tok", "left")
     val = F.col("_val")
     if on_missing == "default":
@@ -49,17 +44,19 @@ def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str
         val = F.when(val.isNull(), F.raise_error(
             F.concat(F.lit("no table entry for "), F.col("_tok").cast("string")))).otherwise(val)
     present = F.col("_tok").isNotNull() & val.isNotNull()
+    most = F.max("_n") if keep_last is None else F.least(F.max("_n"), F.lit(keep_last))
+    one = A.check_unique(key, F.count("_pos"), most).alias("_one")
     if dict(tbl.dtypes)["_val"] == "int":
         # (pos, value) packed into one long: pos in the high half, the value's
         # 32 bits in the low half, so a primitive sort restores token order
         low = F.col("_val_i").cast("long").bitwiseAND(F.lit(_LOW32))
         packed = F.shiftleft(F.col("_pos").cast("long"), 32).bitwiseOR(low)
         grouped = (joined.withColumn("_val_i", val)
-                   .groupBy(*cols).agg(F.sort_array(F.collect_list(F.when(present, packed))).alias("_s")))
-        return grouped.select(*cols, F.transform("_s", _unpack_int).alias(out))
+                   .groupBy(*cols).agg(F.sort_array(F.collect_list(F.when(present, packed))).alias("_s"), one))
+        return grouped.where("_one").select(*cols, F.transform("_s", _unpack_int).alias(out))
     elem = F.when(present, F.struct(F.col("_pos"), val.alias("_v")))
-    grouped = joined.groupBy(*cols).agg(F.array_sort(F.collect_list(elem)).alias("_s"))
-    return grouped.select(*cols, F.transform("_s", lambda s: s["_v"]).alias(out))
+    grouped = joined.groupBy(*cols).agg(F.array_sort(F.collect_list(elem)).alias("_s"), one)
+    return grouped.where("_one").select(*cols, F.transform("_s", lambda s: s["_v"]).alias(out))
 
 
 _LOW32 = 0xFFFFFFFF
@@ -87,24 +84,22 @@ def encode(df: DataFrame, vocab: DataFrame, num_words: int | None = None, oov: b
         table = table.filter(F.col("idx") < F.lit(num_words))
     return lookup_array(df, tokens, table, "word", "idx", out, key=key,
                         on_missing="default" if oov else "drop",
-                        default=OOV_ID if oov else None, bound=num_words,
+                        default=OOV_ID if oov else None,
                         keep_last=keep_last, carry=carry)
 
 
 def pieces_to_ids(df: DataFrame, vocab: DataFrame, unk_id: int, pieces: str = "pieces",
-                  out: str = "ids", key: str = "doc_id", carry: Sequence[str] = (),
-                  bound: int | None = None) -> DataFrame:
-    """Sub-word piece -> id, unknown -> ``unk_id`` (E2).  ``vocab``: (token, id);
-    ``bound``: proven maximum vocabulary size (enables the broadcast)."""
+                  out: str = "ids", key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Sub-word piece -> id, unknown -> ``unk_id`` (E2).  ``vocab``: (token, id)."""
     return lookup_array(df, pieces, vocab, "token", "id", out, key=key,
-                        on_missing="default", default=unk_id, carry=carry, bound=bound)
+                        on_missing="default", default=unk_id, carry=carry)
 
 
 def ids_to_tokens(df: DataFrame, vocab: DataFrame, ids: str = "ids", out: str = "tokens",
-                  key: str = "doc_id", carry: Sequence[str] = (), bound: int | None = None) -> DataFrame:
+                  key: str = "doc_id", carry: Sequence[str] = ()) -> DataFrame:
     """Id -> piece; an id outside the vocabulary fails the job."""
     return lookup_array(df, ids, vocab, "id", "token", out, key=key,
-                        on_missing="error", carry=carry, bound=bound)
+                        on_missing="error", carry=carry)
 
 
 def model_input(ids: Column | str, length: int, cls_id: int, sep_id: int, pad_id: int,

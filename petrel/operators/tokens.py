@@ -17,10 +17,6 @@ SHORT_STOP_WORDS = ["의", "가", "이", "은", "들", "는", "좀", "잘", "걍
 EXTRA_STOP_WORDS = ["가", "합니다"]
 # ----------------------------------------------------------------------------------
 
-# A stop table up to this many rows is inlined as a hashed literal set; a larger
-# one is applied by a join.
-STOP_INLINE_LIMIT = 100_000
-
 
 def tokenize(df: DataFrame, col: str, out: str = "tokens", pattern: str = T.WS) -> DataFrame:
     """Text -> word list by a separator pattern, empties dropped."""
@@ -51,30 +47,24 @@ def remove_stop(df: DataFrame, tokens: str, stop: Iterable[str] | DataFrame,
                 key: str = "doc_id", form: str = "form") -> DataFrame:
     """Remove stop words keeping order and repeats.
 
-    A literal list, or a stop table whose checked size is small, becomes a hashed
-    ``InSet`` inside one projection; a large table is applied by exploding the
-    tokens, joining, and regrouping per document.
+    A literal list becomes a hashed ``InSet`` inside one projection.  A stop
+    table, of whatever size, is joined: tokens are exploded, marked and
+    regrouped per document; Spark broadcasts the table if it is small.  ``key``
+    must be unique then (the job fails if it is not); a null array stays null.
     """
     if not isinstance(stop, DataFrame):
         return df.withColumn(tokens, A.drop_listed(tokens, stop))
     words = stop.select(F.col(form).alias("_w")).where(F.col("_w").isNotNull()).distinct()
-    head = words.limit(STOP_INLINE_LIMIT + 1).collect()   # size check and fetch in one job
-    if len(head) <= STOP_INLINE_LIMIT:
-        return df.withColumn(tokens, A.drop_listed(tokens, [r[0] for r in head]))
-    return _remove_by_join(df, tokens, words, key)
-
-
-def _remove_by_join(df: DataFrame, tokens: str, words: DataFrame, key: str) -> DataFrame:
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("_pos", "_tok"))
-    marked = exploded.join(words.withColumn("_stop", F.lit(True)),
-                           exploded["_tok"] == words["_w"], "left")
-    kept = F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(),
-                  F.struct(F.col("_pos"), F.col("_tok")))
-    regrouped = marked.groupBy(key).agg(F.array_sort(F.collect_list(kept)).alias("_kept"))
-    rest = df.drop(tokens)
-    return (rest.join(regrouped, key, "left")
-            .withColumn(tokens, F.transform(F.coalesce("_kept", F.array()), lambda s: s["_tok"]))
-            .drop("_kept").select(*df.columns))
+    exploded = df.select(key, F.size(tokens).alias("_n"), F.posexplode_outer(tokens).alias("_pos", "_tok"))
+    marked = exploded.join(words.withColumn("_stop", F.lit(True)), exploded["_tok"] == words["_w"], "left")
+    kept = F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(), F.struct(F.col("_pos"), F.col("_tok")))
+    regrouped = marked.groupBy(key).agg(
+        F.array_sort(F.collect_list(kept)).alias("_kept"), A.check_unique(key, F.count("_pos"), F.max("_n")).alias("_one"))
+    rest = df.withColumn("_null", F.col(tokens).isNull()).drop(tokens)
+    words_left = F.transform(F.coalesce("_kept", F.array()), lambda s: s["_tok"])
+    return (rest.join(regrouped, rest[key].eqNullSafe(regrouped[key]), "left").drop(regrouped[key])
+            .where(F.coalesce("_one", F.lit(True)))
+            .withColumn(tokens, F.when(~F.col("_null"), words_left)).select(*df.columns))
 
 
 def build_stop(base: DataFrame, extra: Iterable[str] = EXTRA_STOP_WORDS,

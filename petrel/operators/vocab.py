@@ -6,7 +6,7 @@ entry when there is one, so words start at 2 (else at 1); 0 is padding.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petrel.operators.index import dense_index
@@ -55,6 +55,19 @@ def build_vocab(counts: DataFrame, oov: bool = True) -> DataFrame:
     return ranked.select("word", "cnt", F.col("idx").cast("int").alias("idx"))
 
 
+def top_vocab(counts: DataFrame, num_words: int, oov: bool = True) -> DataFrame:
+    """(word, cnt, idx) of the indices below ``num_words`` only (V2 with V5).
+
+    A distributed top-k (each task keeps its best), so the vocabulary is not
+    sorted; the numbering window sees at most ``num_words`` rows.
+    """
+    start = 2 if oov else 1
+    order = [F.col("cnt").desc(), F.col("first_doc").asc(), F.col("first_pos").asc()]
+    top = counts.orderBy(*order).limit(max(num_words - start, 0))
+    idx = F.row_number().over(Window.orderBy(*order)) + F.lit(start - 1)
+    return top.select("word", "cnt", idx.cast("int").alias("idx"))
+
+
 def doc_freq(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """(word, doc_count): number of documents containing the word (V3)."""
     return (explode_tokens(df.select(F.array_distinct(tokens).alias("_d")), "_d")

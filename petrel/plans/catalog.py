@@ -25,6 +25,8 @@ from petrel.operators import stats as S
 from petrel.operators import tokens as T
 from petrel.operators import vocab as V
 from petrel.plans import fixtures as X
+from petrel.plans.classify import classify
+from petrel.plans.corpus import prepare_corpus
 from petrel.session import scratch_dir
 from petrel.sources import readers as R
 from petrel.sources import writers as W
@@ -35,6 +37,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NUM_WORDS = X.NUM_WORDS   # vocabulary cap
 PAD_PRE_LEN = 300         # left padding length of the sequence models
 MODEL_LEN = 512           # model input length
+PAIR_LEN = 64             # model input length of pairs
 CLS_ID, SEP_ID = NUM_WORDS, NUM_WORDS + 1   # special ids appended after the capped words
 RARE_THRESHOLD = 2        # words seen fewer times are rare
 HIST_BINS = 50
@@ -74,7 +77,7 @@ def _ids_out(df: DataFrame, col: str = "ids", key: str = "doc_id", name: str = "
 
 def doc_seqs(spark, sf, oov=True, keep_last=None, carry=()):
     """(doc_id, ids): all documents encoded with the capped training vocabulary."""
-    vocab = X.train_vocab(spark, sf, oov=oov)
+    vocab = X.capped_vocab(spark, sf, oov=oov)
     toks = X.doc_tokens(spark, sf)
     if carry:
         toks = X.with_category(spark, toks, sf)
@@ -85,11 +88,9 @@ def conv_pairs(spark, sf):
     """(conv_id, turn, a, b): turn t and t+1 of a conversation, both encoded."""
     conv = _t(spark, sf, "conversations").select("conv_id", "turn", "text")
     toks = T.corpus_tokens(conv, stop=X.stop_list(spark, sf), key="conv_id")
-    # keyed by (conv_id, turn): the conv_id partitioning of the input serves the
-    # regrouping; the encoded turns are materialised once and read by both join
-    # sides (a join on (conv_id, turn) stays balanced even when one conversation
-    # is huge, unlike a lead() window partitioned by conv_id)
-    enc = E.encode(toks, X.train_vocab(spark, sf), num_words=NUM_WORDS, key="conv_id",
+    # everything is keyed by (conv_id, turn), so one huge conversation is spread;
+    # the encoded turns are materialised once and read by both join sides
+    enc = E.encode(toks, X.capped_vocab(spark, sf), num_words=NUM_WORDS, key="conv_id",
                    carry=("turn",)).checkpoint()
     nxt = enc.select("conv_id", (F.col("turn") - F.lit(1)).alias("turn"), F.col("ids").alias("b"))
     return enc.withColumnRenamed("ids", "a").join(nxt, ["conv_id", "turn"])
@@ -222,12 +223,12 @@ def vocab_rare_stats(spark, sf):
 
 
 def vocab_topk(spark, sf):
-    return V.cap_vocab(X.train_vocab(spark, sf), NUM_WORDS).select(
+    return X.capped_vocab(spark, sf).select(
         "word", F.col("idx").cast("long").alias("idx"))
 
 
 def vocab_size(spark, sf):
-    return V.vocab_size(X.piece_vocab(spark, X.train_vocab(spark, sf))).select(
+    return V.vocab_size(X.piece_vocab(spark, X.capped_vocab(spark, sf))).select(
         F.col("vocab_size").cast("long"))
 
 
@@ -250,11 +251,10 @@ def enc_sequences_no_oov(spark, sf):
 
 
 def _pieces(spark, sf):
-    vocab = X.train_vocab(spark, sf)
-    table = X.piece_vocab(spark, vocab)
+    # one table for encoding and decoding
+    table = X.piece_vocab(spark, X.capped_vocab(spark, sf)).checkpoint()
     toks = X.doc_tokens(spark, sf).select("doc_id", F.col("tokens").alias("pieces"))
-    bound = NUM_WORDS + len(X.SPECIALS)   # capped words + special tokens
-    return E.pieces_to_ids(toks, table, unk_id=0, bound=bound), table
+    return E.pieces_to_ids(toks, table, unk_id=0), table
 
 
 def enc_pieces(spark, sf):
@@ -264,7 +264,7 @@ def enc_pieces(spark, sf):
 
 def enc_inverse(spark, sf):
     ids, table = _pieces(spark, sf)
-    back = E.ids_to_tokens(ids, table, bound=NUM_WORDS + len(X.SPECIALS))
+    back = E.ids_to_tokens(ids, table)
     return _tok_out(back)
 
 
@@ -362,9 +362,8 @@ def split_tail(spark, sf):
 
 # --- models --------------------------------------------------------------------------------
 
-def _nb_predict(train_tok, vocab, num_words):
-    feats = V.cap_vocab(vocab, num_words).select("word")
-    model = M.nb_fit(train_tok, feats, bound=num_words)
+def _nb_predict(train_tok, counts, num_words):
+    model = M.nb_fit(train_tok, V.top_vocab(counts, num_words).select("word"))
     return lambda df: M.nb_score(model, df)
 
 
@@ -372,8 +371,7 @@ def model_nb_counts(spark, sf):
     toks = X.with_category(spark, X.doc_tokens(spark, sf), sf)
     # the labelled tokens feed the vocabulary and the fit: tokenise once
     train = X.labelled(spark, toks, sf).checkpoint()
-    vocab = V.build_vocab(V.word_counts(train))
-    predict = _nb_predict(train, vocab, NUM_WORDS)
+    predict = _nb_predict(train, V.word_counts(train), NUM_WORDS)
     test = X.unlabelled(spark, toks, sf)
     return predict(test).select("doc_id", F.col("prediction").cast("long").alias("category"))
 
@@ -386,23 +384,35 @@ def _train_valid(spark, sf):
 
 def model_select_best(spark, sf):
     train, valid = _train_valid(spark, sf)
-    vocab = V.build_vocab(V.word_counts(train))
-    cands = {f"nb_{n}": (lambda n: lambda tr: _nb_predict(tr, vocab, n))(n) for n in NB_CANDIDATES}
+    counts = V.word_counts(train).checkpoint()
+    cands = {f"nb_{n}": (lambda n: lambda tr: _nb_predict(tr, counts, n))(n) for n in NB_CANDIDATES}
     return M.select_best(M.validate(cands, train, valid))
 
 
+def _train_and_unlabelled(spark, sf):
+    toks = X.with_category(spark, X.doc_tokens(spark, sf), sf).checkpoint()
+    return X.labelled(spark, toks, sf).where(F.col("category").isNotNull()), X.unlabelled(spark, toks, sf)
+
+
 def model_lr(spark, sf):
-    train, valid = _train_valid(spark, sf)
-    words = M.capped_words(V.build_vocab(V.word_counts(train)), NUM_WORDS)
-    model = M.lr_fit(train, words)
-    return M.score(model, valid).select("doc_id", F.col("prediction").cast("long"))
+    train, rest = _train_and_unlabelled(spark, sf)
+    return M.score(M.lr_fit(train), rest).select("doc_id", F.col("prediction").cast("long"))
 
 
 def model_rf(spark, sf):
-    train, valid = _train_valid(spark, sf)
-    words = M.capped_words(V.build_vocab(V.word_counts(train)), NUM_WORDS)
-    model = M.rf_fit(train, words)
-    return M.score(model, valid).select("doc_id", F.col("prediction").cast("long"))
+    train, rest = _train_and_unlabelled(spark, sf)
+    return M.score(M.rf_fit(train), rest).select("doc_id", F.col("prediction").cast("long"))
+
+
+def sink_model(spark, sf):
+    """A fitted model saved and restored predicts the same for every document (K4)."""
+    train, rest = _train_and_unlabelled(spark, sf)
+    model = M.lr_fit(train)
+    again = W.load_model(W.save_model(model, scratch_dir(spark, "model")))
+    a = M.score(model, rest).select("doc_id", "prediction", "probs")
+    b = M.score(again, rest).select("doc_id", F.col("prediction").alias("p2"), F.col("probs").alias("q2"))
+    return a.join(b, "doc_id").select("doc_id", ((F.col("prediction") == F.col("p2")) & (F.col("probs") == F.col("q2")))
+                                      .alias("same"))
 
 
 def model_embedding_mlp(spark, sf):
@@ -483,14 +493,64 @@ def clean_accents(spark, sf):
     return _docs(spark, sf).select("doc_id", AC.strip_accents("text").alias("clean"))
 
 
-def subword_corpus(spark, sf):
-    from petrel.plans.subword_fixture import fixture_model
-    model = fixture_model(spark, sf)
-    from petrel.operators.subword import subword_encode
-    docs = _docs(spark, sf).select("doc_id", "text")
-    enc = subword_encode(docs, "text", model)
-    return enc.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"),
-                      F.array_join("pieces", " ").alias("pieces"))
+def clean_piece_text(spark, sf):
+    return _docs(spark, sf).select("doc_id", AC.piece_text("text", lower=True).alias("clean"))
+
+
+# --- round trips and the whole flow -------------------------------------------------------------
+
+def src_whole_text(spark, sf):
+    """One text file per benchmark item, read back whole."""
+    path = scratch_dir(spark, "texts")
+    (_t(spark, sf, "benchmark").select("item_id", F.col("text").alias("value"))
+     .write.partitionBy("item_id").option("lineSep", "\n").text(path))
+    df = R.read_text(spark, path)
+    return df.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"),
+                     F.regexp_replace("text", "\n$", "").alias("text"))
+
+
+def sink_arrays(spark, sf):
+    """Token lists and sequences as array columns, read back."""
+    path = W.write_arrays(doc_seqs(spark, sf), scratch_dir(spark, "arrays"))
+    return _ids_out(R.read_arrays(spark, path))
+
+
+def sink_vocab_json(spark, sf):
+    """The vocabulary as JSON lines, read back."""
+    path = W.write_vocab_json(X.train_vocab(spark, sf), scratch_dir(spark, "vocab-json"))
+    return R.read_json(spark, path, "word string, cnt long, idx long")
+
+
+def flow_submission(spark, sf):
+    """Prepare, fit, score, vote, write the submission and read it back (K1).
+
+    Trained on the labelled documents that are not toxic, with the vocabulary
+    cut by the rare-word rule; every unlabelled document gets an answer."""
+    docs = X.with_category(spark, _docs(spark, sf).select("doc_id", F.col("text").alias("data"), "lang"), sf).drop("lang")
+    toxic = _t(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    prep = prepare_corpus(X.labelled(spark, docs, sf), X.unlabelled(spark, docs, sf).drop("category"),
+                          stop=X.stop_list(spark, sf), exclude=toxic, rare_threshold=RARE_THRESHOLD,
+                          max_len=PAD_PRE_LEN)
+    path = W.write_submission(classify(prep, models=("nb",)), scratch_dir(spark, "submission"), run_id="check")
+    out = spark.read.options(**R.CSV_OPTIONS).option("header", "true").schema("doc_id long, category long").csv(path)
+    return out
+
+
+def bars_price_flag(spark, sf):
+    """Both settings of the adjusted flag; the adjusted price is half the close here."""
+    codes = sec_by_market(spark, sf).select("code")
+    bars = X.daily_bar_table(spark, sf).withColumn("adj", F.col("close") / F.lit(2.0)).select("code", "dt", "close", "adj")
+    parts = [B.daily_bars(bars, codes, BASE_DATE, PAGE_SIZE, adjusted=a, adjusted_col="adj", raw_col="close")
+             .select("code", F.col("dt").cast("string").alias("dt"), F.lit(a).alias("adjusted"), "price") for a in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
+def enc_model_input_pair(spark, sf):
+    p = conv_pairs(spark, sf)
+    mi = E.model_input("a", PAIR_LEN, CLS_ID, SEP_ID, 0, pair="b").alias("mi")
+    return p.select("conv_id", "turn", mi).select(
+        "conv_id", "turn", A.join_ints("mi.ids").alias("ids"), A.join_ints("mi.mask").alias("mask"),
+        A.join_ints("mi.segment").alias("segment"))
 
 
 QUERIES: dict[str, Query] = {
@@ -563,5 +623,13 @@ QUERIES: dict[str, Query] = {
     "sec_point_lookup": sec_point_lookup,
     "bars_latest_per_code": bars_latest_per_code,
     "bars_head_per_code": bars_head_per_code,
-    "subword_corpus": subword_corpus,
+    "clean_piece_text": clean_piece_text,
+    "clean_literal_newline_removed": _cleaned(lambda c: TX.strip_literal_newline(c, "")),
+    "src_whole_text": src_whole_text,
+    "sink_arrays": sink_arrays,
+    "sink_vocab_json": sink_vocab_json,
+    "sink_model": sink_model,
+    "flow_submission": flow_submission,
+    "bars_price_flag": bars_price_flag,
+    "enc_model_input_pair": enc_model_input_pair,
 }

@@ -12,8 +12,6 @@ grows with them:
 """
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +31,13 @@ SPECIALS = ["[UNK]", "[PAD]", "[CLS]", "[SEP]", "[MASK]"]  # fixed: sub-word voc
 
 # Text tables: per-row work is heavy, so they are spread by key when the scan
 # is narrower than the cluster (see ``petrel.sources.readers.spread``).
-TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+TEXT_KEYS = {"documents": ["doc_id"], "pages": ["page_id"], "conversations": ["conv_id", "turn"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     key = TEXT_KEYS.get(name)
-    return spread(df, key) if key else df
+    return spread(df, *key) if key else df
 
 
 def stop_table(spark: SparkSession, sf_dir: str, n: int = STOP_TOP) -> DataFrame:
@@ -56,29 +54,9 @@ def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.build_stop(stop_table(spark, sf_dir))
 
 
-_STOP_MEMO: dict[tuple, list[str]] = {}
-
-
 def stop_list(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The stop table as a short list, computed once per benchmark file version.
-
-    The stop table is a small static artifact (the reference reads it from a
-    file); its size is checked by ``remove_stop``'s inline limit.
-    """
-    path = f"{sf_dir.rstrip('/')}/benchmark.parquet"
-    try:
-        st = os.stat(path)
-        key = (os.path.abspath(path), st.st_mtime_ns, st.st_size, STOP_TOP)
-    except OSError:
-        key = None
-    if key is None or key not in _STOP_MEMO:
-        words = [r[0] for r in stop_words(spark, sf_dir).limit(T.STOP_INLINE_LIMIT + 1).collect()]
-        if len(words) > T.STOP_INLINE_LIMIT:
-            raise ValueError("stop table too large to inline")
-        if key is None:
-            return words
-        _STOP_MEMO[key] = words
-    return _STOP_MEMO[key]
+    """The stop words as a list: at most ``STOP_TOP`` words and the extra entries."""
+    return [r[0] for r in stop_words(spark, sf_dir).collect()]
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str, stop: bool = True) -> DataFrame:
@@ -88,23 +66,15 @@ def doc_tokens(spark: SparkSession, sf_dir: str, stop: bool = True) -> DataFrame
     return toks.drop("text")
 
 
-MAP_CLASSES = 64  # up to this many classes are mapped by a literal map
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lang, category): the 0-based rank of each language; null is no language."""
+    langs = table(spark, sf_dir, "documents").select("lang").where(F.col("lang").isNotNull()).distinct()
+    return dense_index(langs, ["lang"], name="category").select("lang", F.col("category").cast("int"))
 
 
 def with_category(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
-    """Attach ``category`` = 0-based rank of ``lang`` among all languages.
-
-    A class set of checked small size becomes a literal map in the projection;
-    a larger one is ranked with ``dense_index`` and joined.
-    """
-    langs = table(spark, sf_dir, "documents").select("lang").distinct()
-    head = langs.limit(MAP_CLASSES + 1).collect()
-    if len(head) <= MAP_CLASSES:
-        names = sorted(r[0] for r in head if r[0] is not None)
-        pairs = [x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))]
-        return df.withColumn("category", F.create_map(*pairs)[F.col("lang")].cast("int"))
-    ranked = dense_index(langs, ["lang"], name="category")
-    return df.join(ranked.select("lang", F.col("category").cast("int")), "lang", "left")
+    """Attach ``category``; null for documents without a language."""
+    return df.join(categories(spark, sf_dir), "lang", "left")
 
 
 def labelled(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
@@ -116,10 +86,15 @@ def unlabelled(spark: SparkSession, df: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def train_vocab(spark: SparkSession, sf_dir: str, oov: bool = True) -> DataFrame:
-    """Vocabulary fitted on the labelled documents."""
+    """Whole vocabulary fitted on the labelled documents."""
     return V.build_vocab(V.word_counts(labelled(spark, doc_tokens(spark, sf_dir), sf_dir)), oov=oov)
 
 
+def capped_vocab(spark: SparkSession, sf_dir: str, oov: bool = True) -> DataFrame:
+    """Its indices below ``NUM_WORDS`` only."""
+    return V.top_vocab(V.word_counts(labelled(spark, doc_tokens(spark, sf_dir), sf_dir)), NUM_WORDS, oov=oov)
+
+
 def piece_vocab(spark: SparkSession, vocab: DataFrame, num_words: int = NUM_WORDS) -> DataFrame:
     """(token, id): the special tokens, then the capped words in index order."""
     specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIALS)], "token string, id int")

@@ -2,8 +2,7 @@
 
 Written independently of the Spark code path: plain SQL over the parquet views
 (window functions, ``unnest``, list lambdas).  Shared pieces are composed as
-CTE text.  Queries that SQL cannot express (Spark ML fits, the SentencePiece
-stage) have no entry here.
+CTE text.  Queries that SQL cannot express (Spark ML fits) have no entry here.
 """
 from __future__ import annotations
 
@@ -80,7 +79,7 @@ doc_tok AS (SELECT d.doc_id, d.lang,
                    list_filter({split_sql(corpus_sql('d.text'))},
                                lambda t: NOT list_contains(s.sl, t) AND length(t) > 1) AS toks
             FROM documents d, stoplist s),
-cats AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS category FROM (SELECT DISTINCT lang FROM documents)),
+cats AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS category FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
 train_tok AS (SELECT * FROM doc_tok WHERE doc_id IN (SELECT doc_id FROM labels)),
 train_pos AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM train_tok),
 wc AS (SELECT word, count(*) AS cnt, min(doc_id * 100000000 + pos) AS first_key FROM train_pos GROUP BY word),
@@ -144,7 +143,7 @@ pp AS (SELECT vec_id AS doc_id, model, label % {N_CLASSES} AS target,
 ARGMAX = "(list_position(probs, list_max(probs)) - 1)"
 
 
-def nb_ctes(p: str, train: str, test: str, vocab: str, cap: int, alpha: float = 1.0) -> str:
+def nb_ctes(p: str, train: str, test: str, vocab: str, cap: int | str, alpha: float = 1.0) -> str:
     """Naive Bayes by counts; ``train`` has (doc_id, category, toks), ``test``
     (doc_id, toks); output CTE ``{p}pred`` (doc_id, pred)."""
     a = repr(float(alpha))
@@ -208,12 +207,12 @@ CASE_NAMES = "CASE c.category " + " ".join(
     f"WHEN {k} THEN {lit(v)}" for k, v in CLASS_NAMES.items()) + " END"
 
 BARS = """
-ticks AS (SELECT lpad(CAST(user_id AS VARCHAR), 6, '0') AS code, ts, value AS price, event_id FROM events),
+ticks AS (SELECT CASE WHEN length(CAST(user_id AS VARCHAR)) < 6 THEN lpad(CAST(user_id AS VARCHAR), 6, '0') ELSE CAST(user_id AS VARCHAR) END AS code, ts, value AS price, event_id FROM events),
 bars AS (SELECT code, CAST(ts AS DATE) AS dt,
                 first(price ORDER BY ts, event_id) AS open, max(price) AS high, min(price) AS low,
                 first(price ORDER BY ts DESC, event_id DESC) AS close, count(*) AS volume
          FROM ticks GROUP BY code, CAST(ts AS DATE)),
-codes AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_name AS name FROM customer
+codes AS (SELECT CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 6 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END AS code, c_name AS name FROM customer
           WHERE c_mktsegment = """ + lit(Q.MARKET) + """),
 page AS (SELECT * FROM (
            SELECT b.*, row_number() OVER (PARTITION BY code ORDER BY dt DESC) AS rn
@@ -265,7 +264,7 @@ ORACLE_SQL: dict[str, str] = {
     "tail_n": "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id DESC LIMIT 5",
     "shape": "SELECT count(*) AS n_rows, 5::BIGINT AS n_cols FROM documents",
     "label_codes": with_("""cats AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS category
-                                     FROM (SELECT DISTINCT lang FROM documents))""",
+                                     FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))""",
                          f"""SELECT d.doc_id, c.category::BIGINT AS category, {CASE_NAMES} AS name
                              FROM documents d JOIN cats c USING (lang)"""),
     "attach_predictions": """SELECT d.doc_id, CAST(l.quality AS VARCHAR) AS category
@@ -343,7 +342,7 @@ ORACLE_SQL: dict[str, str] = {
                    {ints(zeros(str(Q.PAD_PRE_LEN)))} AS segment, category::BIGINT AS target FROM mi"""),
     # labels
     "lbl_one_hot": with_("""cats AS (SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS category
-                                     FROM (SELECT DISTINCT lang FROM documents)),
+                                     FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
                             k AS (SELECT max(category) + 1 AS k FROM cats)""",
                          f"""SELECT d.doc_id,
             {ints("list_transform(range(k.k), lambda i: CASE WHEN i = c.category THEN 1 ELSE 0 END)")} AS one_hot
@@ -397,10 +396,35 @@ ORACLE_SQL: dict[str, str] = {
     # securities and bars
     "bars_daily": with_(BARS, f"SELECT {BAR_COLS} FROM bars"),
     "sec_by_market": with_(BARS, "SELECT code, name FROM codes"),
-    "sec_point_lookup": f"""SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS code, c_name, c_nationkey::BIGINT AS c_nationkey,
+    "sec_point_lookup": f"""SELECT CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 6 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END AS code, c_name, c_nationkey::BIGINT AS c_nationkey,
                                    c_acctbal, c_mktsegment FROM customer
-                            WHERE lpad(CAST(c_custkey AS VARCHAR), 6, '0') = {lit(Q.POINT_CODE)}""",
+                            WHERE CASE WHEN length(CAST(c_custkey AS VARCHAR)) < 6 THEN lpad(CAST(c_custkey AS VARCHAR), 6, '0') ELSE CAST(c_custkey AS VARCHAR) END = {lit(Q.POINT_CODE)}""",
     "bars_latest_per_code": with_(BARS, f"SELECT {BAR_COLS} FROM page"),
+    "bars_price_flag": with_(BARS, """SELECT code, CAST(dt AS VARCHAR) AS dt, a AS adjusted,
+        CASE WHEN a THEN close / 2.0::DOUBLE ELSE close END AS price FROM page, (SELECT unnest([true, false]) AS a)"""),
+    "clean_piece_text": _cleaned(f"lower(strip_accents(replace(replace(trim(regexp_replace({{x}}, {WS_L}, ' ', 'g'), ' '), '``', '\"'), '\'\'\'\'', '\"')))"),
+    "clean_literal_newline_removed": _cleaned("replace({x}, '\\n', '')"),
+    "src_whole_text": "SELECT item_id, text FROM benchmark",
+    "sink_arrays": with_(SEQ, _ids_out("seq")),
+    "sink_vocab_json": with_(DOCS, "SELECT word, cnt, idx FROM vocab"),
+    "sink_model": "SELECT doc_id, true AS same FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "flow_submission": with_(DOCS + "," + LABELLED_CAT + f""",
+        fl_tok AS (SELECT * FROM lab_tok WHERE len(toks) >= 1
+                   AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+        fl_pos AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) - 1 AS pos FROM fl_tok),
+        fl_wc AS (SELECT word, count(*) AS cnt, min(doc_id * 100000000 + pos) AS first_key FROM fl_pos GROUP BY word),
+        fl_cap AS (SELECT count(*) - count(*) FILTER (WHERE cnt < {Q.RARE_THRESHOLD}) + 1 AS cap FROM fl_wc),
+        fl_vocab AS (SELECT word, row_number() OVER (ORDER BY cnt DESC, first_key) + 1 AS idx FROM fl_wc),"""
+        + nb_ctes("f_", "fl_tok", "unl_tok", "fl_vocab", "(SELECT cap FROM fl_cap)"),
+        "SELECT doc_id, pred::BIGINT AS category FROM f_pred"),
+    "enc_model_input_pair": with_(CONV + f""",
+        cut AS (SELECT conv_id, turn, list_slice(a, 1, {Q.PAIR_LEN - 3}) AS a, b FROM pairs),
+        cut2 AS (SELECT conv_id, turn, a, list_slice(b, 1, {Q.PAIR_LEN - 3} - len(a)) AS b FROM cut),
+        mp AS (SELECT conv_id, turn, {pad_post(f"list_concat([{CLS}], a, [{SEP}], b, [{SEP}])", Q.PAIR_LEN)} AS ids,
+                      {pad_post(f"list_concat({zeros('len(a) + 2')}, {zeros('len(b) + 1', 1)})", Q.PAIR_LEN)} AS seg FROM cut2)""",
+        f"""SELECT conv_id, turn, {ints('ids')} AS ids,
+                   {ints("list_transform(ids, lambda x: CASE WHEN x <> 0 THEN 1 ELSE 0 END)")} AS mask,
+                   {ints('seg')} AS segment FROM mp"""),
     "bars_head_per_code": with_(BARS, """SELECT code, CAST(dt AS VARCHAR) AS dt, close, rn AS rank FROM page
                                          WHERE rn <= 10"""),
 }

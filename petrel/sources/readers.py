@@ -18,7 +18,7 @@ CSV_OPTIONS = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "encoding": "UTF-8"}
 
 
-def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, *key: str, min_partitions: int | None = None) -> DataFrame:
     """Hash-partition by ``key`` only when the scan yields fewer partitions than
     the cluster can run at once (e.g. a corpus stored as one row group).
 
@@ -30,7 +30,7 @@ def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFr
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
-    return df.repartition(want, F.col(key))
+    return df.repartition(want, *key)
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA,

@@ -59,7 +59,7 @@ def test_score_stream(spark, tmpdir_path):
     toks = X.with_category(spark, X.doc_tokens(spark, SF), SF)
     train = X.labelled(spark, toks, SF)
     feats = V.cap_vocab(V.build_vocab(V.word_counts(train)), 500).select("word")
-    model = M.nb_fit(train, feats, bound=500)
+    model = M.nb_fit(train, feats)
     stop = [r[0] for r in X.stop_words(spark, SF).collect()]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(SF)
@@ -70,3 +70,16 @@ def test_score_stream(spark, tmpdir_path):
     batch = M.nb_score(model, toks)
     assert scored.count() == batch.count()
     assert scored.select("doc_id", "prediction").exceptAll(batch).count() == 0
+
+
+def test_long_keys_stay_whole(spark):
+    from petrel.operators import bars as B
+    keys = [7, 999999, 1234560, 1234561, 123456789012]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    assert sorted(r[0] for r in df.select(B.as_code("k")).collect()) == sorted(
+        ["000007", "999999", "1234560", "1234561", "123456789012"])
+
+
+def test_bars_are_hash_aggregated(spark):
+    plan = X.daily_bar_table(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

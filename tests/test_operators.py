@@ -88,16 +88,58 @@ def test_ids_to_tokens_fails_out_of_range(spark):
         E.ids_to_tokens(df, vocab).collect()
 
 
-def test_remove_stop_join_path_equals_inline(spark, monkeypatch):
+def test_remove_stop_join_equals_list(spark):
     toks = X.doc_tokens(spark, SF, stop=False).select("doc_id", "tokens")
     stop = X.stop_words(spark, SF)
-    inline = T.remove_stop(toks, "tokens", stop)
-    monkeypatch.setattr(T, "STOP_INLINE_LIMIT", 1)
+    inline = T.remove_stop(toks, "tokens", [r[0] for r in stop.collect()])
     joined = T.remove_stop(toks, "tokens", stop)
     assert inline.exceptAll(joined.select(*inline.columns)).count() == 0
     assert joined.count() == inline.count()
 
 
+def test_remove_stop_nulls_and_repeated_keys(spark):
+    import pytest
+    df = spark.createDataFrame([(1, ["a", "b", None]), (2, None), (3, [])], "doc_id long, tokens array<string>")
+    stop = spark.createDataFrame([("a",), (None,)], "form string")
+    joined = {r[0]: r[1] for r in T.remove_stop(df, "tokens", stop).collect()}
+    assert joined[2] is None and joined[3] == [] and joined[1] == ["b"]
+    twice = spark.createDataFrame([(1, ["x"]), (1, ["y"])], "doc_id long, tokens array<string>")
+    with pytest.raises(Exception, match="repeated key 1"):
+        T.remove_stop(twice, "tokens", stop).collect()
+    vocab = spark.createDataFrame([("x", 2, 2)], "word string, cnt long, idx int")
+    with pytest.raises(Exception, match="repeated key 1"):
+        E.encode(twice, vocab).collect()
+
+
+def test_null_languages_have_no_category(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "a"), (3, "b")], "doc_id long, lang string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["category"] for r in X.with_category(spark, rows, str(tmp_path)).collect()}
+    assert got == {1: None, 2: 0, 3: 1}
+
+
+def test_model_without_weight_fails(spark):
+    import pytest
+    p = spark.createDataFrame([(0, 0, [0.9, 0.1]), (0, 9, [0.2, 0.8])], "doc_id long, model int, probs array<double>")
+    with pytest.raises(Exception, match="no weight for model 9"):
+        N.weighted_vote(p, {0: 1.0}).collect()
+
+
+def test_top_vocab_is_the_head_of_the_vocab(spark):
+    from petrel.operators import vocab as V
+    counts = V.word_counts(X.doc_tokens(spark, SF))
+    whole = V.build_vocab(counts).where("idx < 500")
+    top = V.top_vocab(counts, 500)
+    assert top.count() == 498 and top.exceptAll(whole).count() == 0
+    assert "TakeOrderedAndProject" in top._jdf.queryExecution().executedPlan().toString()
+
+
+def test_compatibility_capitals_are_lowered(spark):
+    from petrel.functions.accents import piece_text
+    df = spark.createDataFrame([("  \u2121  ``\u00c9t\u00e9''",)], "text string")
+    assert df.select(piece_text("text", lower=True)).first()[0] == 'tel "ete"'
+
+
 def test_histogram_matches_numpy(spark):
     toks = X.doc_tokens(spark, SF)
     lens = np.array([r[0] for r in toks.select(F.size("tokens")).collect()])
