@@ -217,7 +217,7 @@ def keys_of(tokens: np.ndarray, per_class: np.ndarray, percent: int,
     return np.unique(np.concatenate(single)), np.unique(np.concatenate(pair))
 
 
-ENTRIES = "key long, row long, n long, u long, s long"
+ENTRIES = "key long, pair boolean, row long, n long, u long, s long"
 
 
 def _entries(percent: int):
@@ -238,10 +238,11 @@ def _entries(percent: int):
                 score = common << 40 | row * 0x9E3779B97F4A7C15 >> 20 & (1 << 40) - 1    # no ties
                 for k, left_out in zip(keys_of(tokens, per_class, percent, steps), (1, RARE + 1)):
                     u = n - int(per_class[:left_out].sum())
-                    out.append((k.view(np.int64), *(np.full(len(k), x, np.int64) for x in (row, n, u, score))))
+                    out.append((k.view(np.int64), np.full(len(k), left_out > 1),
+                                *(np.full(len(k), x, np.int64) for x in (row, n, u, score))))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "row", "n", "u", "s"])
+                    [pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "pair", "row", "n", "u", "s"])
     return run
 
 
@@ -274,6 +275,36 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(_verify(percent), "a long, b long")
 
 
+def _open_pairs(entries: DataFrame, heads: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components, and are not ruled out by their numbers.
+
+    Near copies share very many keys of frequent shingles.  Sets whose keys have
+    the same centre (the most common set that any of their keys leads to) are
+    therefore paired once, by that centre, and by keys only with sets of
+    another centre."""
+    placed = entries.drop("s").join(first.withColumnRenamed("id", "row"), "row", "left").withColumn(
+        "c", F.coalesce("component", "row")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    open_ = stored(placed.join(mixed.select("key"), "key", "left_semi"), "set-open")
+
+    def against(rows: DataFrame, by: str) -> DataFrame:
+        other = rows.select(by, F.col("row").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"),
+                            F.col("c").alias("d"), F.col("centre").alias("centre_b"))
+        return rows.join(other, by).where("c < d and " + _may_link(percent))
+
+    none = F.lit(None).cast("long")
+    single = against(open_.where("not pair").withColumn("centre", none), "key")
+    often = open_.where("pair")
+    centres = often.select("key", "row").join(heads.select("key", "a", "top"), "key").groupBy("row").agg(
+        F.max_by("a", "top").alias("centre"))
+    often = often.join(centres, "row")
+    same = against(often.drop("key").distinct(), "centre")
+    apart = often.groupBy("key").agg(F.min("centre").alias("low"), F.max("centre").alias("high")).where("low <> high")
+    other = against(often.join(apart.select("key"), "key", "left_semi"), "key").where("centre <> centre_b")
+    both = [x.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")) for x in (single, same, other)]
+    return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                 percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
@@ -289,23 +320,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = stored(some.join(firsts, "row", "left_semi").select("row", "n", "body"), "set-firsts")
 
     entries = stored(reps.mapInArrow(_entries(percent), ENTRIES), "set-keys")
-    heads = entries.groupBy("key").agg(
+    heads = stored(entries.groupBy("key").agg(
         F.count("*").alias("k"), F.max("s").alias("top"), F.max_by("row", "s").alias("a"),
-        F.max_by("n", "s").alias("m"), F.max_by("u", "s").alias("v")).where("k > 1").drop("k", "top")
+        F.max_by("n", "s").alias("m"), F.max_by("u", "s").alias("v")).where("k > 1").drop("k"), "set-heads")
     star = stored(entries.drop("s").join(heads, "key").where("a <> row and " + _may_link(percent))
                   .select(F.least("a", "row").alias("a"), F.greatest("a", "row").alias("b")).distinct(), "set-centres")
     links = stored(_links(star, reps, percent), "set-links")
     first = stored(components(links, "set-stars"), "set-components")
-
-    placed = entries.drop("s").join(first.withColumnRenamed("id", "row"), "row", "left").withColumn(
-        "c", F.coalesce("component", "row")).drop("component")
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    open_ = placed.join(mixed.select("key"), "key", "left_semi")
-    other = open_.select("key", F.col("row").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"),
-                         F.col("c").alias("d"))
-    pairs = (open_.join(other, "key").where("c < d and " + _may_link(percent))
-             .select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct()
-             .join(star, ["a", "b"], "left_anti"))
+    pairs = _open_pairs(entries, heads, first, percent).join(star, ["a", "b"], "left_anti")
     more = _links(pairs, reps, percent)
     whole = copies.where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
     found = stored(components(links.unionByName(more).unionByName(whole), "copy-stars"), "copy-components")
