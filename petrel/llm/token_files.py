@@ -21,7 +21,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +33,7 @@ from petrel.session import scratch_dir
 
 BATCH = 64          # sequences of a batch
 #: Answered words that a worker keeps, in two generations.
-KEEP = 300_000
-PART = 1 << 19
+KEEP = 600_000
 #: Characters at which str.split() cuts and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -46,62 +44,59 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-class WordTokenizer:
-    """A tokenizers model whose pre-tokens never span white space.
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level model: printable
+    Latin-1 characters for themselves, the others for 256 and up, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    Its ids of a text are those of the text's words, one after the other, so
-    each distinct word goes through the library once.
+
+class WordTokenizer(dict):
+    """The ids of each word, by a tokenizers model whose pre-tokens never span white space.
+
+    The ids of a text are those of its words, one after the other.  A word that
+    is not held goes through the library: one of Latin-1 letters alone (lower
+    case, one pre-token) straight through its merges, any other through all of
+    it.  Answers are kept in two generations of at most ``KEEP`` words.
     """
 
     def __init__(self, model: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        super().__init__()
         self.library = Tokenizer.from_str(model)
-        self.young: dict[str, bytes] = {}
+        self.merges = self.library.model.tokenize
+        self.letters = _byte_letters()
         self.old: dict[str, bytes] = {}
 
-    def _new(self, words: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(words), 2048):
-            part = words[i:i + 2048]
-            done = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(done.ids, "<u4")
-            end = np.searchsorted(np.array(done.word_ids, np.int64), np.arange(len(part)), "right").tolist()
-            at = 0
-            for e in end:
-                out.append(ids[at:e].tobytes())
-                at = e
-        return out
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._ids(word)
+        if len(word) < 100:
+            if len(self) >= KEEP:
+                self.old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _ids(self, word: str) -> bytes:
+        if word.isalpha():
+            try:
+                word.encode("latin-1")
+                letters = word.lower().encode().decode("latin-1").translate(self.letters)
+                return np.array([t.id for t in self.merges(letters)], "<u4").tobytes()
+            except UnicodeEncodeError:
+                pass
+        elif len(word) > 1 and word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]       # two pre-tokens
+        return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
-        cut, size = [], 0
         for t in texts:
-            cut.append([t] if _ODD.search(t) else t.split())
-            size += len(t)
-            if size >= PART:
-                yield from self._ids(cut)
-                cut, size = [], 0
-        yield from self._ids(cut)
-
-    def _ids(self, cut: list[list[str]]) -> list[bytes]:
-        young, old, known, new = self.young, self.old, {}, []
-        for w in set(chain.from_iterable(cut)):
-            v = young.get(w)
-            if v is None:
-                v = old.get(w)
-                if v is None:
-                    new.append(w)
-                    continue
-                young[w] = v
-            known[w] = v
-        for w, v in zip(new, self._new(new)):
-            known[w] = v
-            if len(w) < 100:
-                young[w] = v
-        if len(young) > KEEP:
-            self.young, self.old = {}, young
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+            yield b"".join(map(self.__getitem__, [t] if _ODD.search(t) else t.split()))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
