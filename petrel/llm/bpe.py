@@ -32,7 +32,6 @@ from petrel.llm.textblocks import mix, powers, prefix_hash
 KEEP = 300_000
 #: Characters of text cut into pre-tokens at a time.
 PART = 1 << 19
-_KEEP_HIGH = np.uint64(32)
 
 
 def hashes(tokens: list[bytes]) -> np.ndarray:
@@ -53,39 +52,41 @@ class PerfectHash:
     """
 
     def __init__(self, keys: np.ndarray):
-        n = len(keys)
-        self.n, self.m = n, max(1, n // 4)
+        self.n, self.m, self.seed = len(keys), max(1, len(keys) // 4), 0
+        while not self._place(keys):     # two keys of a bucket agree in both hashes: take others
+            self.seed += 1
+        self.slot_of = self.slots(keys)
+
+    def _place(self, keys: np.ndarray) -> bool:
+        n = self.n
         self.a, self.b = np.zeros(self.m, np.int64), np.zeros(self.m, np.int64)
         bucket, one, two = self._parts(keys)
         order = np.argsort(bucket, kind="stable")
         count = np.bincount(bucket, minlength=self.m)
         start = np.cumsum(count) - count
         used = np.zeros(n, bool)
-        shift = np.arange(256, dtype=np.int64) * (n // 256 + 1)
+        shift = np.arange(min(n, 256), dtype=np.int64) * (n // 256 + 1)
         descending = np.argsort(-count, kind="stable")
         for j in descending[count[descending] > 1]:
             own = order[start[j]:start[j] + count[j]]
-            tries = 0
-            while True:                  # 256 displacements at a time
+            for tries in range(n + 1024):          # 256 displacements at a time
                 more = (shift + tries) % n
-                at = (one[own] + tries * two[own])[:, None] % n + more
-                at[at >= n] -= n
-                for k in np.flatnonzero(~used[at].any(axis=0)):
-                    if len(set(at[:, k].tolist())) == len(own):
-                        break
-                else:
-                    tries += 1
-                    continue
-                used[at[:, k]] = True
-                self.a[j], self.b[j] = tries, more[k]
-                break
+                at = ((one[own] + tries * two[own])[:, None] + more) % n
+                k = next((k for k in np.flatnonzero(~used[at].any(axis=0)) if len(set(at[:, k].tolist())) == len(own)), -1)
+                if k >= 0:
+                    used[at[:, k]] = True
+                    self.a[j], self.b[j] = tries, more[k]
+                    break
+            else:
+                return False
         alone = descending[count[descending] == 1]
         self.b[alone] = (np.flatnonzero(~used) - one[order[start[alone]]]) % n
-        self.slot_of = self.slots(keys)
+        return True
 
     def _parts(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys = mix(keys + np.uint64(self.seed))
         second = mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        return ((keys % np.uint64(self.m)).astype(np.int64), ((keys >> _KEEP_HIGH) % np.uint64(self.n)).astype(np.int64),
+        return ((keys % np.uint64(self.m)).astype(np.int64), ((keys >> np.uint64(32)) % np.uint64(self.n)).astype(np.int64),
                 (second % np.uint64(self.n)).astype(np.int64))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
