@@ -74,8 +74,10 @@ def _marked(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> tuple[list[str], bool]:
-    """The page's lines that its structure does not rule out, and whether an article marks them."""
+def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
+    """The page's lines that its structure does not rule out, and whether an article marks them.
+
+    ``every``: with the lines outside that article."""
     lines: list[tuple[int, str]] = []                 # (2 in an article, 1 in main, 0 elsewhere; text)
     stack: list[tuple[str, bool, int]] = []           # open elements: name, ruled out, region
     text: list[str] = []
@@ -105,7 +107,8 @@ def lines_of(page: str) -> tuple[list[str], bool]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    flush()
+                    if any(x not in INLINE for x, _, _ in stack[i:]):
+                        flush()
                     del stack[i:]
                     out, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
                     break
@@ -129,7 +132,7 @@ def lines_of(page: str) -> tuple[list[str], bool]:
     if not out:
         flush()
     best = max((r for r, _ in lines), default=0)
-    return [t for r, t in lines if r == best or best == 0], best > 0
+    return [t for r, t in lines if every or r == best], best > 0
 
 
 def shared(a: list, b: list) -> set[int]:
@@ -194,7 +197,7 @@ def _hash(line: str) -> int:
 def _signs(batches):
     for batch in batches:
         host, path, page_id, key, source = batch.columns
-        found = [lines_of(x or "") for x in source.to_pylist()]
+        found = [lines_of(x or "", every=True) for x in source.to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [host, path, page_id, key, pa.array([m for _, m in found], pa.bool_()),
              pa.array([np.array([_hash(x) for x in t], np.uint64).tobytes() for t, _ in found], pa.binary())],
