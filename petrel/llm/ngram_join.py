@@ -229,20 +229,22 @@ def _entries(percent: int):
     that meet at a pair and nowhere else only frequent shingles are shared."""
     steps, classes = np.array(_levels(), np.int64), np.arange(64)
 
+    def of(row: int, n: int, body: bytes):
+        tokens, per_class = _read(body)
+        common = int((per_class * classes).sum() * 1000 // n)
+        score = common << 40 | row * 0x9E3779B97F4A7C15 >> 20 & (1 << 40) - 1    # no ties
+        for k, left_out in zip(keys_of(tokens, per_class, percent, steps), (1, RARE + 1)):
+            u = n - int(per_class[:left_out].sum())
+            yield (k.view(np.int64), np.full(len(k), left_out > 1),
+                   *(np.full(len(k), x, np.int64) for x in (row, n, u, score)))
+
     def run(batches):
         for batch in batches:
-            out = []
-            for row, n, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                tokens, per_class = _read(body)
-                common = int((per_class * classes).sum() * 1000 // n)
-                score = common << 40 | row * 0x9E3779B97F4A7C15 >> 20 & (1 << 40) - 1    # no ties
-                for k, left_out in zip(keys_of(tokens, per_class, percent, steps), (1, RARE + 1)):
-                    u = n - int(per_class[:left_out].sum())
-                    out.append((k.view(np.int64), np.full(len(k), left_out > 1),
-                                *(np.full(len(k), x, np.int64) for x in (row, n, u, score))))
-            if out:
+            for s in range(0, batch.num_rows, 64):
+                rows = zip(*(c.to_pylist() for c in batch.slice(s, 64).columns))
+                parts = [x for r in rows for x in of(*r)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*out)], ["key", "pair", "row", "n", "u", "s"])
+                    [pa.array(np.concatenate(x)) for x in zip(*parts)], ["key", "pair", "row", "n", "u", "s"])
     return run
 
 

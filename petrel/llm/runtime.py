@@ -9,7 +9,7 @@ from petrel.session import ensure_checkpoint_dir, scratch_dir, ship_package
 
 #: Arrow batches sent to Python workers end at this size, so that a few very
 #: long texts cannot fill a worker's memory.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def setup(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from petrel.llm.runtime import column_bytes, ints, squeeze, stored, unints, unsqueeze, wide
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 BLOCK_ROWS = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, ends binary, body binary"
 MESSAGE_SCHEMA = "block long, bucket int, data binary"
