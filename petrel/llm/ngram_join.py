@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrel.llm.graph import components
-from petrel.llm.runtime import ints, setup, squeeze, stored, unints, unsqueeze
+from petrel.llm.runtime import drop, ints, setup, squeeze, stored, unints, unsqueeze
 from petrel.llm.textblocks import (MESSAGE, NO_ID, Block, buckets, exchange, mix, per_row, powers, prefix_hash,
                                    run_starts, text_blocks, unpack)
 
@@ -315,11 +315,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = buckets(docs)
     counts = exchange(blocks.mapInArrow(_ask_counts(n, words), "block long, bucket int, data binary"), _answer_counts)
     sets = stored(blocks.join(counts, "block", "left").mapInArrow(_open_sets(words, percent), SETS_SCHEMA), "sets")
+    drop(blocks)
+    ids = stored(sets.select("row", "doc_id", F.col("n").alias("n_shingles")), "set-ids")
     some = sets.where("digest is not null")
     lead = some.groupBy("digest").agg(F.min("row").alias("lead"))
     copies = stored(some.select("row", "digest").join(lead, "digest").select("row", "lead"), "set-copies")
     firsts = copies.where("row = lead").select("row")
     reps = stored(some.join(firsts, "row", "left_semi").select("row", "n", "body"), "set-firsts")
+    drop(sets)
 
     entries = stored(reps.mapInArrow(_entries(percent), ENTRIES), "set-keys")
     heads = stored(entries.groupBy("key").agg(
@@ -333,7 +336,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = _links(pairs, reps, percent)
     whole = copies.where("row <> lead").select(F.col("row").alias("a"), F.col("lead").alias("b"))
     found = stored(components(links.unionByName(more).unionByName(whole), "copy-stars"), "copy-components")
-    ids = sets.select("row", "doc_id", F.col("n").alias("n_shingles"))
+    drop(reps, entries, heads)
     placed = ids.join(found.withColumnRenamed("id", "row"), "row", "left")
     names = (placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("name")))
     return placed.join(names, "component", "left").select(

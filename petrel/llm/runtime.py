@@ -35,11 +35,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(table: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
-    spark = table.sparkSession
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing reads any more."""
+    spark = tables[0].sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for table in tables for f in table.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
