@@ -324,7 +324,7 @@ def posterior(rows: DataFrame, rates: DataFrame, rate: float, host: str, path: s
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: str = "source",
              path: str = "lang") -> tuple[DataFrame, Model, DataFrame, float]:
-    """One row per document (doc_id, host, path, p_document, site_rate, p_bad, keep); the model, the rates, the overall rate."""
+    """One row per document (doc_id, host, path, p_document, site_rate, p_bad, kept); the model, the rates, the overall rate."""
     setup(docs.sparkSession)
     model = fit(docs, labels, id_col)
     scored = _evidence(docs, model, [F.col(id_col).cast("long"), F.col(host).cast("string"), F.col(path).cast("string")])
@@ -334,7 +334,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: s
     evidence = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("label", "p_document").alias("p"))
     rates, rate = site_rates(evidence, "host", "path")
     out = posterior(scored, rates, rate, "host", "path", "p_document")
-    return out.withColumn("keep", F.col("p_bad") <= 0.5), model, rates, rate
+    return out.withColumn("kept", F.col("p_bad") <= 0.5), model, rates, rate
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: str = "source",

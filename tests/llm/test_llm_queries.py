@@ -11,7 +11,7 @@ COLUMNS = {
     "op1_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op6_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_ann": ["query_id", "rank", "vec_id", "score"],
-    "op9_quality": ["doc_id", "host", "path", "p_document", "site_rate", "p_bad", "keep"],
+    "op9_quality": ["doc_id", "host", "path", "p_document", "site_rate", "p_bad", "kept"],
     "op10_html_text": ["page_id", "url", "text", "n_chars"],
 }
 ROWS = {"op1_token_files": 200, "op6_byte_bpe": 200, "op8_ann": 50, "op9_quality": 200, "op10_html_text": 50}

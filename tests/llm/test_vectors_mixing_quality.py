@@ -195,8 +195,8 @@ def test_held_out_accuracy(spark):
     out = quality.classify(docs, labels.where("doc_id % 2 = 0"))[0]
     assert out.count() == docs.count()
     rows = out.join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
-    good = [r["keep"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
-    junk = [r["keep"] for r in rows if r["quality"] == 0]
+    good = [r["kept"] for r in rows if r["quality"] == 1 and r["toxic"] == 0]
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(good) >= 0.97 * len(good) and sum(junk) <= 0.1 * len(junk)
 
 
@@ -205,7 +205,7 @@ def test_quality_takes_awkward_rows(spark, frame):
     docs = frame(rows, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 1, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
     out = quality.classify(docs, labels)[0]
-    assert out.count() == 4 and out.where("p_bad is null or keep is null").count() == 0
+    assert out.count() == 4 and out.where("p_bad is null or kept is null").count() == 0
     assert quality.filter_documents(docs, labels).columns == docs.columns
     none = labels.limit(0)
     assert quality.filter_documents(docs, none).count() == 4
