@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,8 +34,8 @@ from pyspark.sql import functions as F
 from petrel.llm.runtime import setup, stored, wide
 
 COPY = 0.8      # a neighbour that shares more of the smaller page's lines than this is a copy
-#: Equal line pairs up to which an alignment looks at all of them; beyond, at the lines that occur once.
-PAIRS = 2_000_000
+#: Bits of the table of an alignment that are held at a time; what is found does not depend on it.
+CELLS = 1 << 24
 
 DROP = frozenset("nav header footer aside form script style noscript template svg iframe button select textarea "
                  "dialog menu head title object canvas audio video math option input".split())
@@ -145,28 +144,52 @@ def shared(a: list, b: list) -> set[int]:
         tail += 1
     out = set(range(head)) | set(range(len(a) - tail, len(a)))
     x, y = a[head:len(a) - tail], b[head:len(b) - tail]
-    in_x, in_y = Counter(x), Counter(y)
-    once = sum(n * in_y[k] for k, n in in_x.items()) > PAIRS
+    in_x, in_y = set(x), set(y)
+    places = [head + i for i, k in enumerate(x) if k in in_y]
+    return out | {places[i] for i in _common([k for k in x if k in in_y], [k for k in y if k in in_x])}
+
+
+def _rows(x: list, y: list):
+    """Bits of each row of the alignment's table: a zero where a place of ``y`` lengthens the common subsequence."""
     where: dict = {}
     for j, k in enumerate(y):
-        if k in in_x and not (once and (in_x[k] > 1 or in_y[k] > 1)):
-            where.setdefault(k, []).append(j)
-    ends: list[int] = []                               # smallest place in y that ends a common sequence of each length
-    links: list[tuple] = []
-    for i, k in enumerate(x):
-        for j in reversed(where.get(k, ())):           # from the right, so a line is used once
-            n = bisect_left(ends, j)
-            link = (i, links[n - 1] if n else None)
-            if n == len(ends):
-                ends.append(j)
-                links.append(link)
+        where[k] = where.get(k, 0) | 1 << j
+    full = (1 << len(y)) - 1
+    row = full
+    for k in x:
+        up = row & where.get(k, 0)
+        row = ((row + up) | (row - up)) & full
+        yield row
+
+
+def _lengths(x: list, y: list) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``x`` with each start of ``y``."""
+    row = 0
+    for row in _rows(x, y):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes((len(y) + 7) // 8, "little"), np.uint8), count=len(y), bitorder="little")
+    return np.concatenate([[0], np.cumsum(bits == 0)])
+
+
+def _common(x: list, y: list) -> list[int]:
+    """Places in ``x`` of one longest common subsequence: bit-parallel rows, halved (Hirschberg) until they fit memory."""
+    if not x or not y:
+        return []
+    if len(x) == 1 or len(x) * len(y) <= CELLS:
+        rows, out = list(_rows(x, y)), []
+        i, j = len(x), len(y)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+                i -= 1
             else:
-                ends[n], links[n] = j, link
-    link = links[-1] if links else None
-    while link:
-        out.add(head + link[0])
-        link = link[1]
-    return out
+                i, j = i - 1, j - 1
+                out.append(i)
+        return out[::-1]
+    half = len(x) // 2
+    cut = int(np.argmax(_lengths(x[:half], y) + _lengths(x[:half - 1:-1], y[::-1])[::-1]))
+    return _common(x[:half], y[:cut]) + [half + i for i in _common(x[half:], y[cut:])]
 
 
 def to_delete(own: tuple[str, list], before: tuple[str, list] | None, after: tuple[str, list] | None) -> list[int]:

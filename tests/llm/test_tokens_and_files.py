@@ -205,3 +205,19 @@ def test_differencing_of_pages_without_an_article(spark, frame):
     assert text[7] == "" and text[8] == "Home of things\nkept"
     assert html_text.main_text(frame([], "page_id long, url string, html string")).count() == 0
     assert html.unescape("&amp;") == "&"
+
+
+@pytest.mark.parametrize("n, cells", [(60, 1), (60, 200), (2500, 1 << 24)])
+def test_alignment_is_exact_at_all_sizes(monkeypatch, n, cells):
+    import random
+    rng = random.Random(n)
+    monkeypatch.setattr(html_text, "CELLS", cells, raising=False)
+    a, b = ([rng.randrange(3) for _ in range(n)] for _ in range(2))      # repeated lines only
+    got = sorted(html_text.shared(a, b))
+    row = np.zeros(n + 1, int)
+    for x in a:
+        step = np.append(0, np.where(x == np.array(b), row[:-1] + 1, 0))
+        row = np.maximum.accumulate(np.maximum(row, step))
+    assert len(got) == row[-1]
+    rest = iter(b)
+    assert all(a[i] in rest for i in got)
