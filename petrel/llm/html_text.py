@@ -51,42 +51,52 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponso
                   "widget contentinfo complementary search dialog".split())
 OUTER_WORDS = frozenset("header".split())     # in an article, a header is its title
 
+#: Parts that make a compound of such a word: whole tokens, so has-sidebar or comments-open are none of them.
+_BEFORE = "site main page top bottom left right global primary secondary post article entry cookie social".split()
+_AFTER = ("container wrapper wrap box bar area block list links link section widget menu nav banner notice button "
+          "buttons icons inner form text title header footer").split()
+TOKENS = frozenset(WORDS | {f"{w}{c}{x}" for w in WORDS for c in "-_" for x in [*_AFTER, *WORDS]}
+                   | {f"{x}{c}{w}" for w in WORDS for c in "-_" for x in _BEFORE})
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORD = re.compile(r"[a-z0-9]+")
 
 
-def _marked(name: str, attrs: str, in_article: bool) -> bool:
-    if name in DROP:
-        return not (in_article and name == "header")
-    if not attrs or name in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+def _marked(attrs: str, in_article: bool) -> bool:
+    """Whether a whole token of class, id or role says that the element is not the article."""
     for m in _ATTR.finditer(attrs):
-        key = m[1].lower()
-        if key == "hidden":
-            return True
-        if key in ("class", "id", "role"):
-            words = set(_WORD.findall((m[2] or m[3] or m[4] or "").lower()))
-            if words & WORDS or not in_article and words & OUTER_WORDS:
+        if m[1].lower() in ("class", "id", "role"):
+            tokens = set((m[2] or m[3] or m[4] or "").lower().split())
+            if tokens & TOKENS or not in_article and tokens & OUTER_WORDS:
                 return True
     return False
 
 
-def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
-    """The page's lines that its structure does not rule out, and whether an article marks them.
+def _hidden(attrs: str) -> bool:
+    return any(m[1].lower() == "hidden" for m in _ATTR.finditer(attrs))
 
-    ``every``: with the lines outside that article."""
-    lines: list[tuple[int, str]] = []                 # (2 in an article, 1 in main, 0 elsewhere; text)
-    stack: list[tuple[str, bool, int]] = []           # open elements: name, ruled out, region
+
+def regions_of(page: str) -> list[tuple[int, str]]:
+    """The page's lines that its structure does not rule out, each with 2 in an article, 1 in main, 0 elsewhere.
+
+    A token rules out no element that holds the page's largest article (or
+    main), or more than half of its text if that lies in the article or the
+    page has none; ``html``, ``body``, ``main`` and
+    ``article`` are never ruled out by their own tokens."""
+    lines: list[tuple[int, str, tuple, int]] = []     # region, text, marked elements around, outermost article around
+    stack: list[tuple[str, bool, int, tuple, int]] = []  # open elements: name, ruled out for certain, and as in lines
     text: list[str] = []
-    at, out, region = 0, False, 0
+    around: dict[int, tuple] = {}                     # the marked elements around each outermost article
+    at, n = 0, 0
+    start = (False, 0, (), 0)
+    out, region, marks, inside = start
 
     def flush():
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                lines.append((region, line))
+                lines.append((region, line, marks, inside))
             text.clear()
 
     while at < len(page):
@@ -106,10 +116,10 @@ def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if any(x not in INLINE for x, _, _ in stack[i:]):
+                    if any(x[0] not in INLINE or len(x[3]) > len(stack[i - 1][3] if i else ()) for x in stack[i:]):
                         flush()
                     del stack[i:]
-                    out, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                    out, region, marks, inside = stack[-1][1:] if stack else start
                     break
             continue
         if name in RAW:
@@ -121,15 +131,44 @@ def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end their like
             if stack and stack[-1][0] == name:
                 stack.pop()
-                out, region = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        gone = out or _marked(name, m[3], region == 2)
-        if gone and not out:
+                out, region, marks, inside = stack[-1][1:] if stack else start
+        n += 1
+        exempt = name in ("html", "body", "article", "main")
+        own = bool(m[3]) and _marked(m[3], region == 2)
+        gone = out or name in DROP and not (region == 2 and name == "header") or not exempt and _hidden(m[3])
+        if gone and not out or own and not exempt:
             flush()
         out = gone
-        region = max(region, 2 if name == "article" else 1 if name == "main" or 'role="main"' in m[3] else 0)
-        stack.append((name, out, region))
+        kind = 2 if name == "article" else 1 if name == "main" or 'role="main"' in m[3] else 0
+        if kind and not inside and not out:
+            inside = n
+            if not own:                               # an article marked as a comment is not the page's
+                around[n] = marks
+        region = max(region, kind)
+        if own and not exempt and not out:
+            marks = (*marks, n)
+        stack.append((name, out, region, marks, inside))
     if not out:
         flush()
+    size, articles = Counter(), Counter()
+    for _, line, _, where in lines:
+        if where in around:
+            articles[where] += len(line)
+    main = max(articles, key=articles.get, default=None)
+    for _, line, over, where in lines:
+        if main is None or where == main:             # outside an article, length says nothing: comments may be longer
+            for x in over:
+                size[x] += len(line)
+    total = sum(len(x[1]) for x in lines)
+    free = {x for x in size if 2 * size[x] > total} | set(around.get(main, ()))
+    return [(r, t) for r, t, over, _ in lines if free.issuperset(over)]
+
+
+def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
+    """The page's lines that its structure does not rule out, and whether an article marks them.
+
+    ``every``: with the lines outside that article."""
+    lines = regions_of(page)
     best = max((r for r, _ in lines), default=0)
     return [t for r, t in lines if every or r == best], best > 0
 

@@ -207,6 +207,22 @@ def test_differencing_of_pages_without_an_article(spark, frame):
     assert html.unescape("&amp;") == "&"
 
 
+def test_classes_rule_out_no_element_with_the_article():
+    body = "<p>Some words of the article</p><p>and more of them</p>"
+    want = ["Some words of the article", "and more of them"]
+    for page in (f"<body class='single comments-open'><article>{body}</article></body>",
+                 f"<div class='container has-sidebar'>{body}</div>", f"<div id='search-results'>{body}</div>",
+                 f"<section class='share-enabled'><article>{body}</article></section>",
+                 f"<div class='search'><main>{body}</main></div>", f"<div class='widget'>{body}</div><p>x</p>",
+                 f"<article class='comment'>{body}</article>",
+                 f"<article>{body}</article><div class='comments'><article class='comment'>A long, long comment, longer than"
+                 " all of the article and all of its words</article></div>",
+                 f"<article>{body}</article><div class='related'><article>Other</article></div>"):
+        assert html_text.lines_of(page)[0][:2] == want
+        assert html_text.lines_of(page)[0][2:] in ([], ["x"])
+    assert html_text.lines_of(f"{body}<div class='site-nav'>Menu</div><div class='share-bar'>Share</div>")[0] == want
+
+
 @pytest.mark.parametrize("n, cells", [(60, 1), (60, 200), (2500, 1 << 24)])
 def test_alignment_is_exact_at_all_sizes(monkeypatch, n, cells):
     import random
