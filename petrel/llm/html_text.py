@@ -8,14 +8,16 @@ article keeps what other pages say too, such as a licence line or a quotation.
 
 A page that marks none is compared with the nearest page of its host: pages
 are sorted by host and URL path, and of the two neighbours the one with the
-longer common path counts (unless most of its lines are equal: then it is a
-copy and says nothing about the template, and the other counts).  The lines
-are aligned by their longest common subsequence, and shared lines go.
+longer common path counts.  A copy says nothing about the template, so
+neighbours are the pages before and after a run of copies.  A copy has equal
+lines, or (nearly) equal ones once the lines that are common on the host are
+set aside; a long template makes no copy.  The lines are aligned by their
+longest common subsequence, and shared lines go.
 
 Only hashes of lines are sorted and compared, so the pages themselves do not
 move; what is to go returns as line numbers.  Neighbours are adjacent in one
-global order, whatever the partitions: the pages at the partitions' edges (four
-of each) are compared apart.
+global order, whatever the partitions: runs of copies at the partitions' edges
+are answered apart, once the driver has seen four pages of each partition.
 
 A null html is an empty page, its text is empty.  A null URL is an empty one.
 """
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from petrel.llm.runtime import setup, stored, wide
 
-COPY = 0.8      # a neighbour that shares more of the smaller page's lines than this is a copy
+COPY = 0.8      # a neighbour that shares more of the own lines of the page that has fewer is a copy
 #: Bits of the table of an alignment that are held at a time; what is found does not depend on it.
 CELLS = 1 << 24
 
@@ -231,24 +233,45 @@ def _common(x: list, y: list) -> list[int]:
     return _common(x[:half], y[:cut]) + [half + i for i in _common(x[half:], y[cut:])]
 
 
-def to_delete(own: tuple[str, list], before: tuple[str, list] | None, after: tuple[str, list] | None) -> list[int]:
-    """Numbers of the lines that a page shares with the nearer of its neighbours (path, line hashes)."""
+def is_copy(one: dict, other: dict) -> bool:
+    """Whether two pages of a host are copies by their own lines: those that are not common on the host."""
+    if one["lines"] == other["lines"]:
+        return True
+    a, b = _own(one), _own(other)
+    if not a or not b:
+        return False
+    return a == b or len(shared(a, b)) > COPY * min(len(a), len(b))
+
+
+def _own(row: dict) -> list[int]:
+    return np.frombuffer(row["lines"], np.uint64)[np.frombuffer(row["flags"], np.uint8) & COMMON == 0].tolist()
+
+
+def to_delete(own: dict, before: dict | None, after: dict | None) -> list[int]:
+    """Numbers of the lines that a page shares with the nearer of its neighbours."""
     def near(other):
         n = 0
-        for c, d in zip(own[0], other[0]):
+        for c, d in zip(own["path"], other["path"]):
             if c != d:
                 break
             n += 1
         return -n
-    for other in sorted((x for x in (before, after) if x is not None and x[1]), key=near):
-        both = shared(own[1], other[1])
-        if len(both) <= COPY * min(len(own[1]), len(other[1])):
-            return sorted(both)
+    for other in sorted((x for x in (before, after) if x is not None and x["lines"]), key=near):
+        if not is_copy(own, other):
+            return sorted(shared(_line_list(own), _line_list(other)))
     return []
 
 
+COMMON = 1      # flags of a line: on most pages of its host
 SIGNS = "host string, path string, page_id long, key long, marked boolean, lines binary"
-FOUND = "page_id long, key long, gone array<int>, part int, place long, host string, path string, marked boolean, lines binary"
+FLAGGED = SIGNS + ", flags binary"
+PAGE = {"host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "lines": pa.binary(), "flags": pa.binary()}
+PAGE_TYPE = "struct<host: string, path: string, marked: boolean, lines: binary, flags: binary>"
+FOUND = ("page_id long, key long, gone array<int>, part int, side int, tip int, "
+         "host string, path string, marked boolean, lines binary, flags binary")
+FIRST, LAST, WHOLE = 0, 1, 2     # sides: a partition's first chain, its last chain, one chain that is both
+#: Tips of a partition: its first page, the one after its first chain, the one before its last chain, its last page.
+HEAD, SECOND, BEFORE, END = range(4)
 
 
 def _hash(line: str) -> int:
@@ -266,60 +289,142 @@ def _signs(batches):
             ["host", "path", "page_id", "key", "marked", "lines"])
 
 
+def _counted(batches):
+    """Each line of a page once, and a null line for the page itself."""
+    for batch in batches:
+        host, lines = batch.columns
+        found = [np.unique(np.frombuffer(x, np.int64)) for x in lines.to_pylist()]
+        size = np.array([len(x) for x in found], np.int64)
+        of = pa.array(np.repeat(np.arange(len(found)), size))
+        line = pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.nulls(len(found), pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([host.take(of), host]), line], ["h", "line"])
+
+
+def _flagged(batches):
+    for batch in batches:
+        *rest, lines, common = batch.columns
+        flags = [np.isin(np.frombuffer(x, np.int64), c or []).astype(np.uint8).tobytes()
+                 for x, c in zip(lines.to_pylist(), common.to_pylist())]
+        yield pa.RecordBatch.from_arrays([*rest, lines, pa.array(flags, pa.binary())],
+                                         ["host", "path", "page_id", "key", "marked", "lines", "flags"])
+
+
+def _with_common(signs: DataFrame) -> DataFrame:
+    """``signs`` with flags of the lines that are common on their host.
+
+    Pages with equal lines count once.  A line is common if it is on more than
+    half of the pages, and on three at least (on two if there are no more)."""
+    signs = signs.withColumn("h", F.xxhash64("host"))
+    pages = signs.withColumn("sig", F.xxhash64("lines")).dropDuplicates(["h", "sig"])
+    counts = (pages.select("h", "lines").mapInArrow(_counted, "h long, line long").groupBy("h", "line")
+              .agg(F.count("*").alias("n")).where("n > 1"))
+    counts = stored(counts, "page-common")
+    total = counts.where("line is null").select("h", F.col("n").alias("pages"))
+    common = (counts.where("line is not null").join(total, "h")
+              .where("2 * n > pages and n >= least(3, pages)").groupBy("h").agg(F.collect_list("line").alias("common")))
+    return (signs.join(common, "h", "left").select(*_names(SIGNS), "common").mapInArrow(_flagged, FLAGGED))
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
 def _answer(own: dict, before: dict | None, after: dict | None) -> list[int]:
     """Lines to delete from a page that marks no article."""
     if own["marked"]:
         return []
-    sides = [(x["path"], _line_list(x)) if x is not None and x["host"] == own["host"] else None for x in (before, after)]
-    return to_delete((own["path"], _line_list(own)), *sides)
+    return to_delete(own, *(x if x is not None and x["host"] == own["host"] else None for x in (before, after)))
 
 
 def _line_list(row: dict) -> list[int]:
     return np.frombuffer(row["lines"], np.uint64).tolist()
 
 
+def _linked(one: dict, other: dict) -> bool:
+    return one["host"] == other["host"] and is_copy(one, other)
+
+
 def _compare(batches):
-    """Answers for the pages of a sorted partition; its first and last two pages as they are, with their places."""
+    """Answers for the pages of a sorted partition; the members of its first and last chain as they are, and its tips.
+
+    A chain is a run of pages each of which is a copy of the one before; its
+    neighbours are the pages before and after it."""
     from pyspark import TaskContext
     part = TaskContext.get().partitionId()
-    last: list[dict] = []                             # the two pages before the current one
-    n = 0
+    chain: list[dict] = []
+    before = None                                     # the page before the chain
+    out: list[dict] = []
+    tips: dict[int, dict] = {}
+
+    def close(after):
+        if before is None or after is None:
+            side = WHOLE if before is after else FIRST if before is None else LAST
+            out.extend(x | {"part": part, "side": side} for x in chain)
+        else:
+            out.extend({"page_id": x["page_id"], "key": x["key"], "gone": gone}
+                       for x in chain if (gone := _answer(x, before, after)))
+
     for batch in batches:
-        out = []
         for row in batch.to_pylist():
-            if n < 2:
-                out.append(row | {"gone": None, "part": part, "place": n})
-            if n >= 2 and (gone := _answer(last[1], last[0], row)):
-                out.append({"page_id": last[1]["page_id"], "key": last[1]["key"], "gone": gone})
-            last = [*last[-1:], row]
-            n += 1
-        if out:
-            yield _found(out)
-    edge = [x | {"gone": None, "part": part, "place": n - len(last) + i} for i, x in enumerate(last)]
-    if edge := [x for x in edge if x["place"] >= 2]:
-        yield _found(edge)
+            tips.setdefault(HEAD, row)
+            if chain and not _linked(chain[-1], row):
+                close(row)
+                tips.setdefault(SECOND, row)
+                before, chain = chain[-1], []
+            if chain and chain[-1]["lines"] == row["lines"]:
+                row["lines"], row["flags"] = chain[-1]["lines"], chain[-1]["flags"]
+            chain.append(row)
+        for at in range(0, len(out), 4096):
+            yield _found(out[at:at + 4096])
+        out.clear()
+    if chain:
+        close(None)
+        tips |= {END: chain[-1]} | ({} if before is None else {BEFORE: before})
+    out.extend(row | {"part": part, "tip": k} for k, row in tips.items())
+    for at in range(0, len(out), 4096):
+        yield _found(out[at:at + 4096])
 
 
 def _found(rows: list[dict]) -> pa.RecordBatch:
     kinds = {"page_id": pa.int64(), "key": pa.int64(), "gone": pa.list_(pa.int32()), "part": pa.int32(),
-             "place": pa.int64(), "host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "lines": pa.binary()}
+             "side": pa.int32(), "tip": pa.int32()} | PAGE
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], list(kinds))
 
 
-def _at_edges(rows: list[dict]) -> list[tuple[int, int, list[int]]]:
-    """Answers for the first and last page of each partition."""
-    rows = sorted(rows, key=lambda r: (r["part"], r["place"]))
+def _sides(rows: list[dict]) -> list[tuple]:
+    """Of each partition's first and last chain: the pages before and after it."""
+    of: dict[int, dict[int, dict]] = {}
+    for r in rows:
+        of.setdefault(r["part"], {})[r["tip"]] = r
+    parts = [of[k] for k in sorted(of)]
+
+    def beyond(i, step, own, edge, inner):
+        """The page before (after) a chain that reaches the edge of partition i."""
+        while 0 <= i + step < len(parts):
+            other = parts[i + step]
+            if not _linked(parts[i][own], other[edge]):
+                return other[edge]
+            if inner in other:
+                return other[inner]
+            i += step
+        return None
+
     out = []
-    for i, r in enumerate(rows):
-        first = i == 0 or rows[i - 1]["part"] != r["part"]
-        last = i == len(rows) - 1 or rows[i + 1]["part"] != r["part"]
-        if first or last:
-            gone = _answer(r, rows[i - 1] if i else None, rows[i + 1] if i + 1 < len(rows) else None)
-            if gone:
-                out.append((r["page_id"], r["key"], gone))
+    for i, (part, x) in enumerate(sorted(of.items())):
+        before, after = beyond(i, -1, HEAD, END, BEFORE), beyond(i, 1, END, HEAD, SECOND)
+        sides = [(FIRST, before, x[SECOND]), (LAST, x[BEFORE], after)] if SECOND in x else [(WHOLE, before, after)]
+        out += [(part, side, *(tuple(y[c] for c in PAGE) if y else None for y in (b, a))) for side, b, a in sides]
     return out
 
 
+def _at_edges(batches):
+    for batch in batches:
+        rows = [(r, _answer(r, r["before"], r["after"])) for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r["page_id"] for r, _ in rows], pa.int64()), pa.array([r["key"] for r, _ in rows], pa.int64()),
+             pa.array([g for _, g in rows], pa.list_(pa.int32()))], ["page_id", "key", "gone"])
+
+
 def _texts(batches):
     for batch in batches:
         page_id, url, source, gone = batch.columns
@@ -344,12 +449,14 @@ def main_text(pages: DataFrame) -> DataFrame:
                        "page_id", "key", "html").mapInArrow(_signs, SIGNS)
     signs = stored(signs, "page-lines")
     order = ["host", "path", "page_id", "key"]
-    ordered = signs.repartitionByRange(wide(spark), *order).sortWithinPartitions(*order)
+    ordered = _with_common(signs).repartitionByRange(wide(spark), *order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_compare, FOUND), "page-shared")
-    edges = [r.asDict() for r in found.where("part is not null").collect()]      # four pages of each partition
+    tips = [r.asDict() for r in found.where("tip is not null").collect()]        # four pages of each partition
+    sides = spark.createDataFrame(_sides(tips), f"part int, side int, before {PAGE_TYPE}, after {PAGE_TYPE}")
     kind = "page_id long, key long, gone array<int>"
+    edges = found.where("side is not null").drop("gone", "tip").join(F.broadcast(sides), ["part", "side"])
     gone = (found.where("gone is not null").select("page_id", "key", "gone")
-            .unionByName(spark.createDataFrame(_at_edges(edges), kind)).dropDuplicates(["page_id", "key"]))
+            .unionByName(edges.mapInArrow(_at_edges, kind).where("size(gone) > 0")).dropDuplicates(["page_id", "key"]))
     gone = gone.withColumnsRenamed({"page_id": "p", "key": "k"})
     rows = src.join(gone, src["page_id"].eqNullSafe(gone["p"]) & (src["key"] == gone["k"]), "left")
     return (rows.select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string")

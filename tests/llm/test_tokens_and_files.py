@@ -237,3 +237,28 @@ def test_alignment_is_exact_at_all_sizes(monkeypatch, n, cells):
     assert len(got) == row[-1]
     rest = iter(b)
     assert all(a[i] in rest for i in got)
+
+
+def template_rows():
+    """Pages without an article: a long template, runs of near copies, a host of two pages."""
+    def page(*own):
+        lines = [f"Template {i}" for i in range(12)] + list(own) + [f"Foot {i}" for i in range(8)]
+        return "".join(f"<p>{x}</p>" for x in lines)
+
+    def own(k):
+        return [f"{k} own {i}" for i in range(3)]
+    body = [f"A copied line {i}" for i in range(30)]
+    rows = [(i, f"http://two.org/{i}", page(*own(i)), own(i)) for i in (1, 2)]
+    rows += [(10 + i, f"http://many.org/a/{i}", page(*own(10 + i)), own(10 + i)) for i in range(4)]
+    rows += [(20 + i, f"http://many.org/b/{i}", page(*body, f"count {i}"), [*body, f"count {i}"]) for i in range(5)]
+    rows += [(30 + i, f"http://many.org/c/{i}", page(*own("same")), own("same")) for i in range(4)]
+    return rows + [(40 + i, f"http://many.org/d/{i}", page(*own(40 + i)), own(40 + i)) for i in range(6)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_copies_go_by_their_own_lines(monkeypatch, frame, parts):
+    monkeypatch.setattr(html_text, "wide", lambda spark: parts)
+    rows = template_rows()
+    got = html_text.main_text(frame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["text"].split("\n") for r in got}
+    assert text == {r[0]: r[3] for r in rows}
