@@ -2,17 +2,20 @@
 
 A page is cut into lines, the texts of its block elements.  Lines in menus,
 headers, footers, side bars, notices, adverts, forms, scripts, styles and
-reader comments go by their elements' names, roles and classes.  If the page
-marks its article (``article``, else ``main``), its lines are the text: an
-article keeps what other pages say too, such as a licence line or a quotation.
-
-A page that marks none is compared with the nearest page of its host: pages
-are sorted by host and URL path, and of the two neighbours the one with the
-longer common path counts.  A copy says nothing about the template, so
-neighbours are the pages before and after a run of copies.  A copy has equal
-lines, or (nearly) equal ones once the lines that are common on the host are
-set aside; a long template makes no copy.  The lines are aligned by their
-longest common subsequence, and shared lines go.
+reader comments go by their elements' names, roles and classes.
+
+Each page is compared with the nearest page of its host: pages are sorted by
+host and URL path, and of the two neighbours the one with the longer common
+path counts.  A copy says nothing about the template, so neighbours are the
+pages before and after a run of copies.  A copy has equal lines, or (nearly)
+equal ones once the lines that are common on the host are set aside; a long
+template makes no copy.  The lines are aligned by their longest common
+subsequence, and shared lines go.
+
+If the page marks its article (``article``, else ``main``), only lines in it
+are its text, and of the shared ones only those go that most articles of the
+host hold (a bar of links or of the licence): an article keeps what some other
+page says too, such as a licence line or a quotation.
 
 Only hashes of lines are sorted and compared, so the pages themselves do not
 move; what is to go returns as line numbers.  Neighbours are adjacent in one
@@ -262,9 +265,12 @@ def to_delete(own: dict, before: dict | None, after: dict | None) -> list[int]:
     return []
 
 
-COMMON = 1      # flags of a line: on most pages of its host
-SIGNS = "host string, path string, page_id long, key long, marked boolean, lines binary"
-FLAGGED = SIGNS + ", flags binary"
+#: Flags of a line: on most pages of its host; in the article (or main); in most articles of the host.
+COMMON, INSIDE, BAR = 1, 2, 4
+#: Hosts with more than this part of the pages are joined by broadcast, so there are no more than so many.
+SPREAD = 500
+BARS = 4        # articles that must hold a line before it is a bar of the host
+SIGNS = "host string, path string, page_id long, key long, marked boolean, lines binary, flags binary"
 PAGE = {"host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "lines": pa.binary(), "flags": pa.binary()}
 PAGE_TYPE = "struct<host: string, path: string, marked: boolean, lines: binary, flags: binary>"
 FOUND = ("page_id long, key long, gone array<int>, part int, side int, tip int, "
@@ -282,30 +288,37 @@ def _hash(line: str) -> int:
 def _signs(batches):
     for batch in batches:
         host, path, page_id, key, source = batch.columns
-        found = [lines_of(x or "", every=True) for x in source.to_pylist()]
+        found = [regions_of(x or "") for x in source.to_pylist()]
+        best = [max((r for r, _ in t), default=0) for t in found]
         yield pa.RecordBatch.from_arrays(
-            [host, path, page_id, key, pa.array([m for _, m in found], pa.bool_()),
-             pa.array([np.array([_hash(x) for x in t], np.uint64).tobytes() for t, _ in found], pa.binary())],
-            ["host", "path", "page_id", "key", "marked", "lines"])
+            [host, path, page_id, key, pa.array([x > 0 for x in best], pa.bool_()),
+             pa.array([np.array([_hash(x) for _, x in t], np.uint64).tobytes() for t in found], pa.binary()),
+             pa.array([bytes(INSIDE if b and r == b else 0 for r, _ in t) for t, b in zip(found, best)], pa.binary())],
+            ["host", "path", "page_id", "key", "marked", "lines", "flags"])
 
 
 def _counted(batches):
-    """Each line of a page once, and a null line for the page itself."""
+    """Each line of a page once, and whether its article holds it; a null line for the page itself."""
     for batch in batches:
-        host, lines = batch.columns
-        found = [np.unique(np.frombuffer(x, np.int64)) for x in lines.to_pylist()]
-        size = np.array([len(x) for x in found], np.int64)
-        of = pa.array(np.repeat(np.arange(len(found)), size))
+        host, marked, lines, flags = batch.columns
+        found, inside = [], []
+        for x, f in zip(lines.to_pylist(), flags.to_pylist()):
+            line, of = np.unique(np.frombuffer(x, np.int64), return_inverse=True)
+            found.append(line)
+            inside.append(np.bincount(of, np.frombuffer(f, np.uint8) & INSIDE, len(line)) > 0)
+        of = pa.array(np.repeat(np.arange(len(found)), np.array([len(x) for x in found], np.int64)))
         line = pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *found])), pa.nulls(len(found), pa.int64())])
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([host.take(of), host]), line], ["h", "line"])
+        inside = pa.concat_arrays([pa.array(np.concatenate([np.zeros(0, bool), *inside])), marked])
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([host.take(of), host]), line, inside], ["h", "line", "inside"])
 
 
 def _flagged(batches):
     for batch in batches:
-        *rest, lines, common = batch.columns
-        flags = [np.isin(np.frombuffer(x, np.int64), c or []).astype(np.uint8).tobytes()
-                 for x, c in zip(lines.to_pylist(), common.to_pylist())]
-        yield pa.RecordBatch.from_arrays([*rest, lines, pa.array(flags, pa.binary())],
+        *rest, lines, flags, common, bars = batch.columns
+        new = [(np.frombuffer(f, np.uint8) | np.isin(line, c or []) * np.uint8(COMMON) | np.isin(line, b or []) * np.uint8(BAR)
+                ).tobytes() for line, f, c, b in zip((np.frombuffer(x, np.int64) for x in lines.to_pylist()),
+                                                     flags.to_pylist(), common.to_pylist(), bars.to_pylist())]
+        yield pa.RecordBatch.from_arrays([*rest, lines, pa.array(new, pa.binary())],
                                          ["host", "path", "page_id", "key", "marked", "lines", "flags"])
 
 
@@ -313,16 +326,27 @@ def _with_common(signs: DataFrame) -> DataFrame:
     """``signs`` with flags of the lines that are common on their host.
 
     Pages with equal lines count once.  A line is common if it is on more than
-    half of the pages, and on three at least (on two if there are no more)."""
+    half of the pages, and on three at least (on two if there are no more); it
+    is a bar if more than half of the articles hold it, and ``BARS`` at least."""
     signs = signs.withColumn("h", F.xxhash64("host"))
-    pages = signs.withColumn("sig", F.xxhash64("lines")).dropDuplicates(["h", "sig"])
-    counts = (pages.select("h", "lines").mapInArrow(_counted, "h long, line long").groupBy("h", "line")
-              .agg(F.count("*").alias("n")).where("n > 1"))
+    pages = signs.withColumn("sig", F.xxhash64("lines", "flags")).dropDuplicates(["h", "sig"])
+    counts = (pages.select("h", "marked", "lines", "flags").mapInArrow(_counted, "h long, line long, inside boolean")
+              .groupBy("h", "line").agg(F.count("*").alias("n"), F.count_if("inside").alias("m")).where("n > 1"))
     counts = stored(counts, "page-common")
-    total = counts.where("line is null").select("h", F.col("n").alias("pages"))
+    total = counts.where("line is null").selectExpr("h", "n as pages", "m as articles")
     common = (counts.where("line is not null").join(total, "h")
-              .where("2 * n > pages and n >= least(3, pages)").groupBy("h").agg(F.collect_list("line").alias("common")))
-    return (signs.join(common, "h", "left").select(*_names(SIGNS), "common").mapInArrow(_flagged, FLAGGED))
+              .selectExpr("h", "line", "2 * n > pages and n >= least(3, pages) as c", f"2 * m > articles and m >= {BARS} as b")
+              .where("c or b").groupBy("h").agg(F.collect_list(F.expr("if(c, line, null)")).alias("common"),
+                                                F.collect_list(F.expr("if(b, line, null)")).alias("bars")))
+    common = stored(common, "page-hosts")
+    large = signs.groupBy("h").count().where(F.col("count") > signs.count() // SPREAD).select("h", F.lit(True).alias("large"))
+    large = large.join(common, "h", "left")
+    rest = common.selectExpr("h as k", "common as common_", "bars as bars_")
+    signs = (signs.join(F.broadcast(large), "h", "left")
+             .withColumn("k", F.when(F.col("large"), F.xxhash64("page_id", "key")).otherwise(F.col("h")))
+             .join(rest, "k", "left"))
+    lists = [F.when(F.col("large"), F.col(c)).otherwise(F.col(c + "_")).alias(c) for c in ("common", "bars")]
+    return signs.select(*_names(SIGNS), *lists).mapInArrow(_flagged, SIGNS)
 
 
 def _names(schema: str) -> list[str]:
@@ -330,10 +354,15 @@ def _names(schema: str) -> list[str]:
 
 
 def _answer(own: dict, before: dict | None, after: dict | None) -> list[int]:
-    """Lines to delete from a page that marks no article."""
-    if own["marked"]:
-        return []
-    return to_delete(own, *(x if x is not None and x["host"] == own["host"] else None for x in (before, after)))
+    """Lines to delete from a page; of an article, by their numbers in it.
+
+    What an article shares goes only if it is a bar of the host, as articles share their own lines, too."""
+    gone = to_delete(own, *(x if x is not None and x["host"] == own["host"] else None for x in (before, after)))
+    if not own["marked"]:
+        return gone
+    flags = np.frombuffer(own["flags"], np.uint8)
+    place = np.cumsum(flags & INSIDE > 0) - 1
+    return [int(place[i]) for i in gone if flags[i] & INSIDE and flags[i] & BAR]
 
 
 def _line_list(row: dict) -> list[int]:

@@ -262,3 +262,17 @@ def test_copies_go_by_their_own_lines(monkeypatch, frame, parts):
     got = html_text.main_text(frame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
     text = {r["page_id"]: r["text"].split("\n") for r in got}
     assert text == {r[0]: r[3] for r in rows}
+
+
+def test_differencing_decides_in_articles(frame):
+    rows = []
+    for i in range(8):
+        quote = "<p>A quotation of some</p>" if i < 3 else ""
+        menu = f"<p>Outside {i}</p>" * (i % 3)
+        rows.append((i, f"http://h.org/{i}", f"<p>Top</p>{menu}<article><p>Share this</p><p>own {i}</p>{quote}"
+                     "<p>All under one licence</p></article><p>Foot</p>"))
+    rows += [(20 + i, f"http://few.org/{i}", f"<article><p>Shared by two</p><p>few {i}</p></article>") for i in range(2)]
+    got = html_text.main_text(frame(rows, "page_id long, url string, html string")).collect()
+    text = {r["page_id"]: r["text"] for r in got}
+    assert all(text[i] == f"own {i}" + "\nA quotation of some" * (i < 3) for i in range(8))
+    assert all(text[20 + i] == f"Shared by two\nfew {i}" for i in range(2))
