@@ -186,3 +186,22 @@ def test_components(spark):
     assert got == {x: root(x) for x in linked}
     u, v = stars(np.array([5, 3, 9]), np.array([3, 1, 8]))
     assert dict(zip(u.tolist(), v.tolist())) == {3: 1, 5: 1, 9: 8}
+
+
+def test_a_passage_that_goes_on_differently_loads_no_bucket(frame):
+    rng = random.Random(8)
+    vocabulary, n, many = words(rng, 60), 16, 2
+    passage = " ".join(rng.choice(vocabulary) for _ in range(30))
+    rows = [(i, passage + " " + " ".join(rng.choice(vocabulary) for _ in range(20))) for i in range(300)]
+    blocks = S.text_blocks(frame(rows, "doc_id long, text string"), "doc_id", "text", "test-blocks")
+    message = "block long, bucket int, data binary"
+    repeated = S.exchange(blocks.mapInArrow(S._ask_repeated(n, 50), message), S._answer_repeated(1000))
+    known = blocks.join(repeated, "block", "left")
+    firsts = S.exchange(known.mapInArrow(S._ask_first(n, 50), message), S._answer_first(many))
+    asked = known.join(firsts.withColumnRenamed("replies", "firsts"), "block", "left")
+    sent = Counter()
+    for r in asked.mapInArrow(S._ask_pieces(n, 50), "kind int, block long, bucket int, data binary").where("kind = 1").collect():
+        sent[r["bucket"]] += sum(S.unints(S._fields(r["data"])[0]).tolist())
+    assert max(sent.values()) < 5000
+    got = S.remove_repeats(frame(rows, "doc_id long, text string"), many=many).drop("text", "text_hash").collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows)
