@@ -205,8 +205,10 @@ def _rerank(k: int, d: int):
     return run
 
 
-def _blocks(route, size: int, visits: int):
-    """Rows of each part in blocks; ``visits`` > 1 puts a row into several parts."""
+def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, least: int = 0):
+    """Rows of each part in blocks; ``visits`` > 1 puts a row into several parts.
+
+    With ``held_by``, the rows of each part, a row goes into more until they hold ``least``."""
     def run(batches):
         held: dict[int, list] = {}
         count: dict[int, int] = {}
@@ -222,8 +224,14 @@ def _blocks(route, size: int, visits: int):
             if not batch.num_rows:
                 continue
             ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-            parts = np.argsort(-route(x), axis=1, kind="stable")[:, :visits]
-            for p in np.unique(parts).tolist():
+            parts = np.argsort(-route(x), axis=1, kind="stable")
+            if held_by is None:
+                parts = parts[:, :visits]
+            else:
+                before = np.cumsum(held_by[parts], axis=1) - held_by[parts]
+                parts = np.where((np.arange(parts.shape[1]) < visits) | (before < least), parts, -1)
+                parts = np.where(held_by[parts] > 0, parts, -1)
+            for p in np.unique(parts[parts >= 0]).tolist():
                 at = np.flatnonzero((parts == p).any(axis=1))
                 for s in range(0, len(at), size):
                     piece = at[s:s + size]
@@ -278,14 +286,16 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
         return spark.createDataFrame([], none)
     d, rows = sizes[0]["d"], sizes[0]["count"]
     good = stored(src.where(F.size("v") == d), "vectors")
-    picked = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()      # bounded by SAMPLE
-    sample = np.array([r["v"] for r in picked])
+    picked = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + TRIALS).collect()      # bounded by both
+    tried = picked[-TRIALS:]
+    # the trials are apart from what the router learns, unless the table is that small
+    sample = np.array([r["v"] for r in (picked[:-TRIALS] if len(picked) > 2 * TRIALS else picked)])
     route = fit(sample, rows)
     shared = spark.sparkContext.broadcast(route)                                # bounded by SAMPLE and the length
     parts = len(route.w[3])
     visits = 1
     if parts > 1:
-        trials = {"ids": np.array([r["id"] for r in picked[:TRIALS]]), "x": sample[:TRIALS]}
+        trials = {"ids": np.array([r["id"] for r in tried]), "x": np.array([r["v"] for r in tried])}
         true = top(good.mapInArrow(_trial_parts(trials, k, d), FOUND), k)
         found = true.join(good.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", "v").collect()
         near: dict[int, list[np.ndarray]] = {}
@@ -298,7 +308,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
 
     index = stored(good.mapInArrow(_blocks(router, BLOCK, 1), BLOCKS), "vector-parts")
     asked = good.where(F.col("id") % every == 0)
-    queries = stored(asked.mapInArrow(_blocks(router, QUERIES, visits), BLOCKS), "vector-queries")
+    held_by = np.zeros(parts, np.int64)
+    for r in index.groupBy("part").agg(F.sum(F.length("ids") / 8).alias("n")).collect():    # a row for each part
+        held_by[r["part"]] = int(r["n"])
+    queries = stored(asked.mapInArrow(_blocks(router, QUERIES, visits, held_by, k + 1), BLOCKS), "vector-queries")
     pairs = (queries.select("part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
              .join(index, "part").select("q_ids", "q", "ids", "vectors").repartition(2 * wide(spark)))
     out = top(pairs.mapInArrow(_rerank(k, d), FOUND), k)

@@ -241,3 +241,34 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
             assert set(docs.columns) == names and docs.select("doc_id").exceptAll(before.select("doc_id")).count() == 0
             assert docs.where("n_chars <> length(text)").count() == 0
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
+
+
+def test_recall_of_routed_search(monkeypatch, frame):
+    monkeypatch.setattr(ann, "PART_ROWS", 150)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(12, 8)) * 3, 150, axis=0) + rng.normal(size=(1800, 8))
+    seen = {}
+    fit, visits_for = ann.fit, ann.visits_for
+    monkeypatch.setattr(ann, "fit", lambda sample, rows: seen.setdefault("route", fit(sample, rows)) if not seen.update(
+        sample={v.tobytes() for v in sample}) else None)
+    monkeypatch.setattr(ann, "visits_for", lambda route, trials, true, recall: seen.setdefault("visits", visits_for(
+        route, trials, true, recall)) if not seen.update(trials={v.tobytes() for v in trials["x"]}) else None)
+    got = {}
+    for r in ann.nearest(frame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"),
+                         every=10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert len(seen["route"].w[3]) >= 8 and not seen["trials"] & seen["sample"]
+    hits = sum(len(found & set(np.argsort(((x - x[q]) ** 2).sum(axis=1) + 1e9 * (np.arange(1800) == q))[:10].tolist()))
+               for q, found in got.items())
+    print("parts", len(seen["route"].w[3]), "visits", seen["visits"], "recall", hits / 10 / len(got))
+    assert len(got) == 180 and hits >= 0.93 * 1800
+
+
+def test_queries_short_of_rows_visit_more_parts():
+    import pyarrow as pa
+    scores = np.array([[5., 4., 3., 2.]])
+    x = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([[1., 2.]])], ["id", "v"])
+    parts = [r["part"] for b in ann._blocks(lambda v: scores, 4, 1, np.array([2, 0, 6, 9]), 8)([x]) for r in b.to_pylist()]
+    assert sorted(parts) == [0, 2]
+    parts = [r["part"] for b in ann._blocks(lambda v: scores, 4, 1, np.array([2, 0, 6, 9]), 11)([x]) for r in b.to_pylist()]
+    assert sorted(parts) == [0, 2, 3]
