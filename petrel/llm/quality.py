@@ -213,8 +213,10 @@ def _score(model: Model):
 def with_labels(docs: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
     """(text, junk, toxic) of a bounded sample of the labelled documents."""
     worst = _worst(labels).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
-        F.broadcast(worst), "id").select("text", "junk", "toxic")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(
+        F.broadcast(worst), "id").withColumn("t", F.xxhash64("text"))
+    picked = rows.select("id", "t").distinct().orderBy(F.xxhash64("id", "t"), "id", "t").limit(SAMPLE)   # an id may be repeated
+    return rows.join(F.broadcast(picked), ["id", "t"]).dropDuplicates(["id", "t"]).select("text", "junk", "toxic")
 
 
 def _worst(labels: DataFrame) -> DataFrame:

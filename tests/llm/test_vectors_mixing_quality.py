@@ -243,6 +243,17 @@ def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
 
 
+def test_sample_bounds_documents_of_repeated_ids(monkeypatch, frame):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    docs = [(1, f"text {i % 60}") for i in range(240)] + [(2, "other"), (2, "other"), (3, "unlabelled")]
+    labels = frame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    docs = frame(docs, "doc_id long, text string")
+    got = [r["text"] for r in quality.with_labels(docs, labels, "doc_id").collect()]
+    assert len(got) == len(set(got)) == 20
+    monkeypatch.setattr(quality, "SAMPLE", 100)
+    assert quality.with_labels(docs, labels, "doc_id").count() == 61
+
+
 def test_recall_of_routed_search(monkeypatch, frame):
     monkeypatch.setattr(ann, "PART_ROWS", 150)
     rng = np.random.default_rng(6)
