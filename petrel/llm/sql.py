@@ -112,10 +112,87 @@ ARCHIVE = """
            CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
     FROM q"""
 
+NEGATIVES = """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+               FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+          FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER w::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+    QUALIFY row_number() OVER w <= 3"""
+
+# crc32 of the decimal id bit by bit; runs are islands of equal words q apart, for every q
+RUNS = f"""
+    WITH c AS (SELECT doc_id, text, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+                        list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                      lambda s, b: list_reduce(list_concat([xor(s, b)], range(8)), lambda x, i:
+                        CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS h FROM documents),
+    d AS (SELECT doc_id, h % 10 = 0 AS chosen, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM c),
+    e AS (SELECT *, len(w) AS n, CASE WHEN chosen AND len(w) > 0 THEN g % len(w) END AS a FROM d),
+    f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+    t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+                 lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM f),
+    u AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM t),
+    eq AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM u x JOIN u y
+           ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+    isl AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS r FROM eq),
+    st AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM isl GROUP BY doc_id, q, r
+           HAVING count(*) + q >= greatest(6, 4 * q)),
+    run AS (SELECT doc_id, start, length, min(q) AS period FROM st GROUP BY doc_id, start, length),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k FROM u ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+    best AS (SELECT doc_id, count(*) AS n_runs, first(start ORDER BY length DESC, start, period) AS start, max(length) AS length,
+                    first(period ORDER BY length DESC, start, period) AS period,
+                    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+             FROM run GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+           (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+           sha256(coalesce(k, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+def _secrets() -> str:
+    """Matches and the pieces between them add up to places; letters in either case are spelled out (no other case rules)."""
+    either = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in "password|passwd|secret|token|api_?key")
+    kinds = [("assign", f"({either})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
+             ("access", "AKIA[A-Z0-9]+", 0, 20, True), ("hex", "[0-9a-f]+", 0, 24, True),
+             ("private_key", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, False),
+             ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False), ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False),
+             ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1, False),
+             ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False)]
+    parts = []
+    for number, (kind, pattern, group, least, _) in enumerate(kinds):
+        parts.append(f"""
+            SELECT doc_id, {number} AS kind, '{kind}' AS name, start, start + length(hit) AS stop FROM (
+              SELECT *, sum(length(gap) + coalesce(length(before), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS start FROM (
+                SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit, parts[i] AS part, CASE WHEN i > 1 THEN hits[i - 1] END AS before
+                FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+                  SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits,
+                         regexp_extract_all(t, '{pattern}', {group}) AS parts FROM d)))) WHERE length(part) >= {least}""")
+    base = sum(k[4] for k in kinds)
+    span = "name || ':' || start || ':' || stop, ',' ORDER BY start, kind"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k[0]}" for i, k in enumerate(kinds) if k[4])
+    shown = ", ".join(f"coalesce(n_{k[0]}, 0)::BIGINT AS n_{k[0]}" for k in kinds if k[4])
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    s AS ({' UNION ALL '.join(parts)}),
+    a AS (SELECT doc_id, {counts}, string_agg({span}) AS spans, string_agg({span}) FILTER (kind < {base}) AS base FROM s GROUP BY doc_id)
+    SELECT doc_id, {shown}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN a USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": _mixing(),
     "op3_embedding_dedup": NEAR_VECTORS,
     "op4_suffix_dedup": REPEATS,
     "op5_ngram_join": NEAR_COPIES,
     "op7_warc": ARCHIVE,
+    "op11_hard_negatives": NEGATIVES,
+    "op12_periodic_runs": RUNS,
+    "op13_secret_scan": _secrets(),
 }

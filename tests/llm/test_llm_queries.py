@@ -20,7 +20,7 @@ ROWS = {"op1_token_files": 200, "op6_byte_bpe": 200, "op8_ann": 50, "op9_quality
 def test_every_query_is_registered_and_checked():
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
     assert set(QUERIES) == set(ORACLE_SQL) | set(COLUMNS)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ORACLE_SQL)
