@@ -21,7 +21,9 @@ formula cannot tell apart are computed again from the differences.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do vectors of another length than the most frequent one, or rows
-without an id.
+without an id.  Rows of one id are rows of their own, told apart by a number
+given when the vectors are stored: each is a query with an answer of its own,
+and a candidate of the other.
 """
 from __future__ import annotations
 
@@ -145,19 +147,19 @@ def fit(sample: np.ndarray, rows: int, k: int = 10, seed: int = 0) -> Router:
 # --- exact distances ---------------------------------------------------------
 
 class Nearest:
-    """The k nearest of each query so far; ties to the smaller id."""
+    """The k nearest of each query so far; ties to the smaller id.  Queries and candidates are named by row."""
 
     def __init__(self, k: int):
         self.k = k
-        self.best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
-    def add(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(self, query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         square = (vectors * vectors).sum(axis=1)
         own = (queries * queries).sum(axis=1)
         far = square[None, :] + own[:, None] - 2 * queries @ vectors.T
         slack = 1e-9 * (own[:, None] + square[None, :])         # more than what rounding can do
         for q in range(len(queries)):
-            name = int(query_ids[q])
+            name = int(query_rows[q])
             d = far[q]
             if name in self.best and len(self.best[name][0]) == self.k:
                 limit = self.best[name][0][-1] ** 2
@@ -167,36 +169,36 @@ class Nearest:
             if len(at) > self.k + 1:
                 kth = np.partition(d[at], self.k)[self.k]        # one more, for the query itself
                 at = at[d[at] - slack[q][at] <= kth + slack[q][at].max()]
-            at = at[ids[at] != name]
+            at = at[rows[at] != name]
             if not len(at):
                 continue
             gap = vectors[at] - queries[q]
-            score, got = np.sqrt((gap * gap).sum(axis=1)), ids[at]
+            new = np.sqrt((gap * gap).sum(axis=1)), ids[at], rows[at]
             if name in self.best:
-                score, got = np.append(self.best[name][0], score), np.append(self.best[name][1], got)
-            order = np.lexsort((got, score))[:self.k]
-            self.best[name] = score[order], got[order]
+                new = tuple(np.append(x, y) for x, y in zip(self.best[name], new))
+            order = np.lexsort((new[2], new[1], new[0]))[:self.k]
+            self.best[name] = tuple(x[order] for x in new)
 
     def rows(self) -> pa.RecordBatch | None:
         if not self.best:
             return None
-        size = [len(s) for s, _ in self.best.values()]
+        size = [len(x[0]) for x in self.best.values()]
+        score, ids, rows = (np.concatenate([x[i] for x in self.best.values()]) for i in range(3))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.fromiter(self.best, np.int64), size)),
-             pa.array(np.concatenate([v for _, v in self.best.values()])),
-             pa.array(np.concatenate([s for s, _ in self.best.values()]))], ["query_id", "vec_id", "score"])
+            [pa.array(np.repeat(np.fromiter(self.best, np.int64), size)), pa.array(ids), pa.array(rows), pa.array(score)],
+            ["query", "vec_id", "row", "score"])
 
 
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, vec_id long, row long, score double"
 
 
 def _rerank(k: int, d: int):
     def run(batches):
         best = Nearest(k)
         for batch in batches:
-            for q_ids, q, ids, v in zip(*(c.to_pylist() for c in batch.columns)):
-                best.add(np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, d),
-                         np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64).reshape(-1, d))
+            for q_rows, q, rows, ids, v in zip(*(c.to_pylist() for c in batch.columns)):
+                best.add(np.frombuffer(q_rows, np.int64), np.frombuffer(q, np.float64).reshape(-1, d),
+                         np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64).reshape(-1, d))
                 if len(best.best) > 50_000:
                     yield best.rows()
                     best = Nearest(k)
@@ -214,16 +216,15 @@ def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, le
         count: dict[int, int] = {}
 
         def out(part):
-            ids, rows = zip(*held.pop(part))
+            columns = [np.concatenate(x).tobytes() for x in zip(*held.pop(part))]
             count.pop(part)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([np.concatenate(ids).tobytes()]),
-                 pa.array([np.concatenate(rows).tobytes()])], ["part", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([c]) for c in columns)],
+                                              ["part", "rows", "ids", "vectors"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+            rows, ids, x = batch.column("row").to_numpy(), batch.column("id").to_numpy(), matrix(batch.column("v"))
             parts = np.argsort(-route(x), axis=1, kind="stable")
             if held_by is None:
                 parts = parts[:, :visits]
@@ -235,7 +236,7 @@ def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, le
                 at = np.flatnonzero((parts == p).any(axis=1))
                 for s in range(0, len(at), size):
                     piece = at[s:s + size]
-                    held.setdefault(p, []).append((ids[piece], x[piece]))
+                    held.setdefault(p, []).append((rows[piece], ids[piece], x[piece]))
                     count[p] = count.get(p, 0) + len(piece)
                     if count[p] >= size:
                         yield out(p)
@@ -244,11 +245,11 @@ def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, le
     return run
 
 
-BLOCKS = "part int, ids binary, vectors binary"
+BLOCKS = "part int, rows binary, ids binary, vectors binary"
 
 
 def top(rows: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id", "row")
     return rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
 
 
@@ -258,7 +259,8 @@ def _trial_parts(trials: dict, k: int, d: int):
         best = Nearest(k)
         for batch in batches:
             if batch.num_rows:
-                best.add(trials["ids"], trials["x"], batch.column(0).to_numpy(), matrix(batch.column(1)))
+                best.add(trials["rows"], trials["x"], batch.column("row").to_numpy(), batch.column("id").to_numpy(),
+                         matrix(batch.column("v")))
         if best.best:
             yield best.rows()
     return run
@@ -269,7 +271,7 @@ def visits_for(route: Router, trials: dict, true: dict[int, list[np.ndarray]], r
     order = np.argsort(-route(trials["x"]), axis=1, kind="stable")
     place = np.argsort(order, axis=1)                       # when a trial visits each part
     needed = [place[i, int(route(v[None, :]).argmax())] + 1
-              for i, name in enumerate(trials["ids"].tolist()) for v in true.get(name, [])]
+              for i, name in enumerate(trials["rows"].tolist()) for v in true.get(name, [])]
     return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
@@ -285,8 +287,8 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     if not sizes:
         return spark.createDataFrame([], none)
     d, rows = sizes[0]["d"], sizes[0]["count"]
-    good = stored(src.where(F.size("v") == d), "vectors")
-    picked = good.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + TRIALS).collect()      # bounded by both
+    good = stored(src.where(F.size("v") == d).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    picked = good.orderBy(F.xxhash64("id"), "id", "row").limit(SAMPLE + TRIALS).collect()      # bounded by both
     tried = picked[-TRIALS:]
     # the trials are apart from what the router learns, unless the table is that small
     sample = np.array([r["v"] for r in (picked[:-TRIALS] if len(picked) > 2 * TRIALS else picked)])
@@ -295,12 +297,12 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     parts = len(route.w[3])
     visits = 1
     if parts > 1:
-        trials = {"ids": np.array([r["id"] for r in tried]), "x": np.array([r["v"] for r in tried])}
+        trials = {"rows": np.array([r["row"] for r in tried]), "x": np.array([r["v"] for r in tried])}
         true = top(good.mapInArrow(_trial_parts(trials, k, d), FOUND), k)
-        found = true.join(good.withColumnRenamed("id", "vec_id"), "vec_id").select("query_id", "v").collect()
+        found = true.select("query", "row").join(good.select("row", "v"), "row").collect()
         near: dict[int, list[np.ndarray]] = {}
         for r in found:                                                         # TRIALS * k rows
-            near.setdefault(r["query_id"], []).append(np.array(r["v"]))
+            near.setdefault(r["query"], []).append(np.array(r["v"]))
         visits = visits_for(route, trials, near, recall)
 
     def router(x):
@@ -309,10 +311,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     index = stored(good.mapInArrow(_blocks(router, BLOCK, 1), BLOCKS), "vector-parts")
     asked = good.where(F.col("id") % every == 0)
     held_by = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").agg(F.sum(F.length("ids") / 8).alias("n")).collect():    # a row for each part
+    for r in index.groupBy("part").agg(F.sum(F.length("rows") / 8).alias("n")).collect():    # a row for each part
         held_by[r["part"]] = int(r["n"])
     queries = stored(asked.mapInArrow(_blocks(router, QUERIES, visits, held_by, k + 1), BLOCKS), "vector-queries")
-    pairs = (queries.select("part", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-             .join(index, "part").select("q_ids", "q", "ids", "vectors").repartition(2 * wide(spark)))
+    pairs = (queries.select("part", F.col("rows").alias("q_rows"), F.col("vectors").alias("q"))
+             .join(index, "part").select("q_rows", "q", "rows", "ids", "vectors").repartition(2 * wide(spark)))
     out = top(pairs.mapInArrow(_rerank(k, d), FOUND), k)
-    return out.select("query_id", "rank", "vec_id", "score")
+    names = asked.select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return out.join(names, "query").select("query_id", "rank", "vec_id", "score")

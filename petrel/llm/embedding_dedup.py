@@ -1,11 +1,12 @@
 """Near copies among vectors of a label, exactly, by PCA-ordered tiles.
 
-Equal vectors of a label are one vertex.  Vectors are rotated to the principal
+Equal vectors of a label are one vertex, numbered as it is written; ids name
+components only at the end.  Vectors are rotated to the principal
 axes of all (unit) vectors, which keeps products and puts most of a product
-into the leading dimensions, and sorted by label and leading coordinate into
-tiles of ``TILE`` vectors.  Vectors with cosine >= c are at most
-sqrt(2 - 2c) apart, so only tiles of a label whose leading coordinates come
-that close are compared.
+into the leading dimensions, and sorted by label and by a curve through the
+``BOX`` leading coordinates (their bits in turn) into tiles of ``TILE`` vectors.
+Vectors with cosine >= c are at most sqrt(2 - 2c) apart, so only tiles of a
+label are compared whose boxes in these coordinates come that close.
 
 Two tiles are compared some dimensions at a time.  The product over the
 leading dimensions plus the product of the norms of what is left bounds the
@@ -18,7 +19,11 @@ components, not the links, so a group of copies costs a row per member.
 
 Vectors that are null, zero, or hold null or non-finite components, and
 vectors without a label, link with nothing; vectors of different lengths do
-not link.  A vector without an id counts as the one with the largest.
+not link.  Rows of one id are rows of their own, each with its own links.  A
+row without an id counts as the one with the largest: its component is named
+by another row's id if there is one, else null.  ``kept`` says that a row's id
+is its component's, so all rows of that id are kept, and rows without an id
+where no row of the component has one.
 """
 from __future__ import annotations
 
@@ -34,6 +39,7 @@ from petrel.llm.runtime import setup, stored, wide
 from petrel.llm.textblocks import NO_ID
 
 TILE = 1024
+BOX, BITS = 4, 8                           # leading coordinates of a tile's box; bits of each that order the vectors
 STEPS = (8, 16, 32, 64, 128, 256, 512)     # leading dimensions after which pairs are given up
 MARGIN = 1e-9                              # of the bounds, for rounding
 
@@ -100,18 +106,30 @@ def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
+def curve(lead: np.ndarray) -> np.ndarray:
+    """Places of points of [-1, 1]^d on a curve that keeps near points near: the bits of their coordinates in turn."""
+    cell = np.clip(((lead + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
+    out = np.zeros(len(lead), np.int64)
+    for bit in range(BITS - 1, -1, -1):
+        for d in range(lead.shape[1]):
+            out = out << 1 | cell[:, d] >> bit & 1
+    return out
+
+
 def _leading(axes: dict[int, np.ndarray]):
     def run(batches):
         for batch in batches:
             for n, part in by_length(batch, 3):
-                lead = unit(matrix(part.column(3))) @ axes[n][:, 0]
+                lead = np.zeros((len(part), BOX))
+                lead[:, :min(n, BOX)] = unit(matrix(part.column(3))) @ axes[n][:, :BOX]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([n] * len(lead), pa.int32()), pa.array(lead)],
-                    [*part.schema.names, "n", "lead"])
+                    [*part.columns, pa.array([n] * len(lead), pa.int32()), pa.array(curve(lead)), pa.array(list(lead))],
+                    [*part.schema.names, "n", "place", "lead"])
     return run
 
 
-TILES = "tile long, label long, n int, low double, high double, ids binary, copies binary, vectors binary"
+TILES = ("tile long, label long, n int, " + ", ".join(f"low{d} double, high{d} double" for d in range(BOX))
+         + ", ids binary, copies binary, vectors binary")
 
 
 def _tiles(batches):
@@ -120,24 +138,24 @@ def _tiles(batches):
 
     def out(rows: pa.Table):
         nonlocal number
-        lead = rows.column("lead").to_numpy()
+        lead = matrix(rows.column("lead"))
         number += 1
+        box = [pa.array([x[d]]) for d in range(BOX) for x in (lead.min(axis=0), lead.max(axis=0))]
         return pa.RecordBatch.from_arrays(
-            [pa.array([number - 1], pa.int64()), rows.column("label")[:1].combine_chunks(), rows.column("n")[:1].combine_chunks(),
-             pa.array([lead.min()]), pa.array([lead.max()]),
+            [pa.array([number - 1], pa.int64()), rows.column("label")[:1].combine_chunks(), rows.column("n")[:1].combine_chunks(), *box,
              pa.array([rows.column("rep").to_numpy().astype(np.int64).tobytes()]),
              pa.array([rows.column("copies").to_numpy().astype(np.int64).tobytes()]),
              pa.array([matrix(rows.column("v")).tobytes()])],
-            ["tile", "label", "n", "low", "high", "ids", "copies", "vectors"])
+            [c.split()[0] for c in TILES.split(", ")])
 
     held: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         held = rows if held is None else pa.concat_tables([held, rows])
         while held.num_rows:
-            key = held.column("label").to_numpy() * 65536 + held.column("n").to_numpy()
-            same = int(np.argmax(key != key[0])) or len(key)
-            if same < TILE and same == len(key):
+            label, n = held.column("label").to_numpy(), held.column("n").to_numpy()
+            same = int(np.argmax((label != label[0]) | (n != n[0]))) or len(label)
+            if same < TILE and same == len(label):
                 break
             yield out(held.slice(0, min(same, TILE)))
             held = held.slice(min(same, TILE))
@@ -145,6 +163,12 @@ def _tiles(batches):
         yield out(held)
 
 
+def apart() -> str:
+    """The squared distance of the boxes of two tiles, as an SQL expression."""
+    gaps = [f"greatest(a_low{d} - b_high{d}, b_low{d} - a_high{d}, 0D)" for d in range(BOX)]
+    return " + ".join(f"{g} * {g}" for g in gaps)
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (each once, if ``same``) of rotated unit vectors whose cosine may reach ``least``."""
     n = a.shape[1]
@@ -212,28 +236,31 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id"
                          F.col(vector_col).cast("array<double>").alias("v"))
     src = src.withColumn("ok", F.col("label").isNotNull() & usable(F.col("v")))
     good = src.where("ok").withColumn("hash", F.xxhash64("v"))
-    reps = stored(good.groupBy("label", "hash", "v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")),
-                  "vector-firsts")
+    reps = stored(good.groupBy("label", "hash", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+                  .withColumn("rep", F.monotonically_increasing_id()), "vector-firsts")
     axes = principal_axes(reps.select("v"))
-    order = ["label", "n", "lead", "rep"]
+    order = ["label", "n", "place", "rep"]
     lead = stored(reps.select("label", "rep", "copies", "v").mapInArrow(
-        _leading(axes), "label long, rep long, copies long, v array<double>, n int, lead double"), "vector-leads")
+        _leading(axes), "label long, rep long, copies long, v array<double>, n int, place long, lead array<double>"), "vector-leads")
     tiles = stored(lead.repartitionByRange(wide(spark), *order).sortWithinPartitions(*order).mapInArrow(_tiles, TILES),
                    "vector-tiles")
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + MARGIN
-    x, y = (tiles.select("label", "n", *[F.col(c).alias(f"{s}_{c}") for c in ("low", "high")], F.col("tile").alias(s))
-            for s in "ab")
-    pairs = x.join(y, ["label", "n"]).where(f"a <= b and a_low <= b_high + {reach!r} and b_low <= a_high + {reach!r}")
+    box = [f"{side}{d}" for side in ("low", "high") for d in range(BOX)]
+    x, y = (tiles.select("label", "n", *[F.col(c).alias(f"{s}_{c}") for c in box], F.col("tile").alias(s)) for s in "ab")
+    pairs = x.join(y, ["label", "n"]).where(f"a <= b and {apart()} <= {reach * reach!r}D")
     x, y = (tiles.select(F.col("tile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("ids", "copies", "vectors")])
             for s in "ab")
     pairs = pairs.select("n", "a", "b").repartition(wide(spark), "a", "b").join(x, "a").join(y, "b")
     found = stored(pairs.mapInArrow(_compare(axes, least), "u long, v long, links long"), "vector-links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     groups = components(found.where("v is not null").select("u", "v"), "vector-stars")
+    names = (groups.join(reps.select(F.col("rep").alias("id"), "first"), "id")
+             .groupBy("component").agg(F.min("first").alias("name")))
+    named = groups.join(names, "component").select("id", "name")
     firsts = (reps.join(counts, reps["rep"] == counts["u"], "left").drop("u")
-              .join(groups, reps["rep"] == groups["id"], "left")
+              .join(named, reps["rep"] == named["id"], "left")
               .select("label", "hash", "v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-                      F.coalesce("component", "rep").alias("component_id")))
+                      F.coalesce("name", "first").alias("component_id")))
     out = good.join(firsts, ["label", "hash", "v"]).select("id", "n_links", "component_id").unionByName(
         src.where(~F.col("ok")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     none = F.lit(None).cast("long")

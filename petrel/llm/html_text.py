@@ -14,11 +14,12 @@ subsequence, and shared lines go.
 
 If the page marks its article (``article``, else ``main``), only lines in it
 are its text, and of the shared ones only those go that most articles of the
-host hold (a bar of links or of the licence): an article keeps what some other
-page says too, such as a licence line or a quotation.
+host hold (a bar of links or of the licence) and that lie before the article's
+first or behind its last own line: an article keeps what some other page says
+too, such as a licence line, a quotation or the headings of a recipe.
 
-Only hashes of lines are sorted and compared, so the pages themselves do not
-move; what is to go returns as line numbers.  Neighbours are adjacent in one
+Every page is parsed once.  Only hashes of lines are sorted and compared; what
+is to go returns as line numbers, by which the stored lines are deleted.  Neighbours are adjacent in one
 global order, whatever the partitions: runs of copies at the partitions' edges
 are answered apart, once the driver has seen four pages of each partition.
 
@@ -29,7 +30,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,41 +44,61 @@ COPY = 0.8      # a neighbour that shares more of the own lines of the page that
 CELLS = 1 << 24
 
 DROP = frozenset("nav header footer aside form script style noscript template svg iframe button select textarea "
-                 "dialog menu head title object canvas audio video math option input".split())
-RAW = frozenset("script style noscript template textarea title svg iframe math".split())
+                 "dialog menu head title object canvas audio video option input annotation annotation-xml".split())
+RAW = frozenset("script style noscript template textarea title svg iframe annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end no line: the text around them goes on, also where their own text is dropped.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q s samp "
-                   "small span strike strong sub sup time tt u var wbr br rp rt ruby".split())
+                   "small span strike strong sub sup time tt u var wbr br rp rt ruby script style noscript template svg "
+                   "iframe button select textarea object canvas audio video input output meter progress picture embed "
+                   "slot source track area math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder "
+                   "munderover mtable mtr mtd mstyle mspace mfenced semantics annotation annotation-xml".split())
 #: Words of class, id and role that mark what is not the article.
-WORDS = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie "
-                  "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
+WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion "
+                  "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
                   "signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus "
                   "respond replies social share sharing related recommended pagination pager footer masthead toolbar "
-                  "widget contentinfo complementary search dialog".split())
+                  "contentinfo complementary search adsbygoogle".split())
 OUTER_WORDS = frozenset("header".split())     # in an article, a header is its title
-
-#: Parts that make a compound of such a word: whole tokens, so has-sidebar or comments-open are none of them.
-_BEFORE = "site main page top bottom left right global primary secondary post article entry cookie social".split()
-_AFTER = ("container wrapper wrap box bar area block list links link section widget menu nav banner notice button "
-          "buttons icons inner form text title header footer").split()
-TOKENS = frozenset(WORDS | {f"{w}{c}{x}" for w in WORDS for c in "-_" for x in [*_AFTER, *WORDS]}
-                   | {f"{x}{c}{w}" for w in WORDS for c in "-_" for x in _BEFORE})
+ROLES = frozenset("dialog alertdialog".split())
+#: A token with one of these says something of a page or its state, not what the element is.
+STATES = frozenset("has have no not with without is enabled disabled open opened closed results free".split())
+#: Parts that are written on to such a word: sharebar, commentlist.
+_AFTER = "container wrapper wrap box bar area block list links link section menu banner slot unit form text title".split()
+MARKS = WORDS | {w + x for w in WORDS for x in _AFTER}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+
+
+@lru_cache(1 << 16)
+def _token_marks(token: str) -> tuple[bool, bool]:
+    """Whether a token marks what is not the article, anywhere and outside an article; by whole words of it."""
+    words = {w.lower() for w in _PARTS.findall(token)}
+    if words & STATES:
+        return False, False
+    return bool(words & MARKS), bool(words & OUTER_WORDS)
+
+
 def _marked(attrs: str, in_article: bool) -> bool:
-    """Whether a whole token of class, id or role says that the element is not the article."""
+    """Whether a word of class, id or role says that the element is not the article."""
     for m in _ATTR.finditer(attrs):
-        if m[1].lower() in ("class", "id", "role"):
-            tokens = set((m[2] or m[3] or m[4] or "").lower().split())
-            if tokens & TOKENS or not in_article and tokens & OUTER_WORDS:
-                return True
+        name = m[1].lower()
+        if name in ("class", "id", "role"):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                inside, outside = _token_marks(token)
+                if inside or outside and not in_article or name == "role" and token.lower() in ROLES:
+                    return True
     return False
 
 
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
+
+
 def _hidden(attrs: str) -> bool:
     return any(m[1].lower() == "hidden" for m in _ATTR.finditer(attrs))
 
@@ -86,9 +107,8 @@ def regions_of(page: str) -> list[tuple[int, str]]:
     """The page's lines that its structure does not rule out, each with 2 in an article, 1 in main, 0 elsewhere.
 
     A token rules out no element that holds the page's largest article (or
-    main), or more than half of its text if that lies in the article or the
-    page has none; ``html``, ``body``, ``main`` and
-    ``article`` are never ruled out by their own tokens."""
+    main); ``html``, ``body``, ``main`` and ``article`` are never ruled out by
+    their own tokens.  If tokens rule out all there is, they count for nothing."""
     lines: list[tuple[int, str, tuple, int]] = []     # region, text, marked elements around, outermost article around
     stack: list[tuple[str, bool, int, tuple, int]] = []  # open elements: name, ruled out for certain, and as in lines
     text: list[str] = []
@@ -114,19 +134,23 @@ def regions_of(page: str) -> list[tuple[int, str]]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if name not in INLINE:
+        if out:
+            pass                                      # what lies in a dropped element ends no line
+        elif name not in INLINE:
             flush()
-        elif name == "br" and not out:
+        elif name == "br":
             text.append(" ")
         if m[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if any(x[0] not in INLINE or len(x[3]) > len(stack[i - 1][3] if i else ()) for x in stack[i:]):
+                    if any(not x[1] and (x[0] not in INLINE or len(x[3]) > len(stack[i - 1][3] if i else ())) for x in stack[i:]):
                         flush()
                     del stack[i:]
                     out, region, marks, inside = stack[-1][1:] if stack else start
                     break
             continue
+        if name == "svg" and m[3].endswith("/"):
+            continue
         if name in RAW:
             end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -140,8 +164,11 @@ def regions_of(page: str) -> list[tuple[int, str]]:
         n += 1
         exempt = name in ("html", "body", "article", "main")
         own = bool(m[3]) and _marked(m[3], region == 2)
-        gone = out or name in DROP and not (region == 2 and name == "header") or not exempt and _hidden(m[3])
-        if gone and not out or own and not exempt:
+        gone = out or name in DROP and not (region == 2 and name == "header") or not exempt and bool(m[3]) and _hidden(m[3])
+        if own and name in INLINE and not gone:       # goes without ending the line, unless an article lies in it
+            end = re.compile(f"</{name}\\b", re.I).search(page, at)
+            gone = not _ARTICLE.search(page, at, end.start() if end else len(page))
+        if name not in INLINE and (gone and not out or own and not exempt) or own and not gone:
             flush()
         out = gone
         kind = 2 if name == "article" else 1 if name == "main" or 'role="main"' in m[3] else 0
@@ -155,18 +182,12 @@ def regions_of(page: str) -> list[tuple[int, str]]:
         stack.append((name, out, region, marks, inside))
     if not out:
         flush()
-    size, articles = Counter(), Counter()
+    articles = Counter()
     for _, line, _, where in lines:
         if where in around:
             articles[where] += len(line)
-    main = max(articles, key=articles.get, default=None)
-    for _, line, over, where in lines:
-        if main is None or where == main:             # outside an article, length says nothing: comments may be longer
-            for x in over:
-                size[x] += len(line)
-    total = sum(len(x[1]) for x in lines)
-    free = {x for x in size if 2 * size[x] > total} | set(around.get(main, ()))
-    return [(r, t) for r, t, over, _ in lines if free.issuperset(over)]
+    free = set(around.get(max(articles, key=articles.get, default=None), ()))
+    return [(r, t) for r, t, over, _ in lines if free.issuperset(over)] or [(r, t) for r, t, _, _ in lines]
 
 
 def lines_of(page: str, every: bool = False) -> tuple[list[str], bool]:
@@ -273,6 +294,7 @@ BARS = 4        # articles that must hold a line before it is a bar of the host
 SIGNS = "host string, path string, page_id long, key long, marked boolean, lines binary, flags binary"
 PAGE = {"host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "lines": pa.binary(), "flags": pa.binary()}
 PAGE_TYPE = "struct<host: string, path: string, marked: boolean, lines: binary, flags: binary>"
+PAGES = SIGNS + ", url string, text string"
 FOUND = ("page_id long, key long, gone array<int>, part int, side int, tip int, "
          "host string, path string, marked boolean, lines binary, flags binary")
 FIRST, LAST, WHOLE = 0, 1, 2     # sides: a partition's first chain, its last chain, one chain that is both
@@ -285,16 +307,17 @@ def _hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line)
 
 
-def _signs(batches):
+def _parsed(batches):
+    """A page's hashed lines, and the text that its structure leaves, a line feed between lines."""
     for batch in batches:
-        host, path, page_id, key, source = batch.columns
+        host, path, page_id, key, url, source = batch.columns
         found = [regions_of(x or "") for x in source.to_pylist()]
         best = [max((r for r, _ in t), default=0) for t in found]
         yield pa.RecordBatch.from_arrays(
             [host, path, page_id, key, pa.array([x > 0 for x in best], pa.bool_()),
              pa.array([np.array([_hash(x) for _, x in t], np.uint64).tobytes() for t in found], pa.binary()),
-             pa.array([bytes(INSIDE if b and r == b else 0 for r, _ in t) for t, b in zip(found, best)], pa.binary())],
-            ["host", "path", "page_id", "key", "marked", "lines", "flags"])
+             pa.array([bytes(INSIDE if b and r == b else 0 for r, _ in t) for t, b in zip(found, best)], pa.binary()),
+             url, pa.array(["\n".join(x for r, x in t if r == b) for t, b in zip(found, best)], pa.string())], _names(PAGES))
 
 
 def _counted(batches):
@@ -356,13 +379,20 @@ def _names(schema: str) -> list[str]:
 def _answer(own: dict, before: dict | None, after: dict | None) -> list[int]:
     """Lines to delete from a page; of an article, by their numbers in it.
 
-    What an article shares goes only if it is a bar of the host, as articles share their own lines, too."""
+    What an article shares goes only if it is a bar of the host, as articles share their own lines, too, and
+    only before the article's first or behind its last line that stays."""
     gone = to_delete(own, *(x if x is not None and x["host"] == own["host"] else None for x in (before, after)))
     if not own["marked"]:
         return gone
     flags = np.frombuffer(own["flags"], np.uint8)
     place = np.cumsum(flags & INSIDE > 0) - 1
-    return [int(place[i]) for i in gone if flags[i] & INSIDE and flags[i] & BAR]
+    bars = {int(place[i]) for i in gone if flags[i] & INSIDE and flags[i] & BAR}
+    first, last = 0, int(place[-1]) if len(place) else -1
+    while first in bars:
+        first += 1
+    while last in bars:
+        last -= 1
+    return sorted(i for i in bars if i < first or i > last) if first <= last else []
 
 
 def _line_list(row: dict) -> list[int]:
@@ -454,17 +484,6 @@ def _at_edges(batches):
              pa.array([g for _, g in rows], pa.list_(pa.int32()))], ["page_id", "key", "gone"])
 
 
-def _texts(batches):
-    for batch in batches:
-        page_id, url, source, gone = batch.columns
-        texts = []
-        for x, g in zip(source.to_pylist(), gone.to_pylist()):
-            lines, _ = lines_of(x or "")
-            drop = set(g or ())
-            texts.append("\n".join(t for i, t in enumerate(lines) if i not in drop))
-        yield pa.RecordBatch.from_arrays([page_id, url, pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html)."""
     spark = pages.sparkSession
@@ -473,10 +492,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     src = src.withColumn("key", F.xxhash64("url", "html"))
     parts = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)(.*)$"
     url = F.coalesce("url", F.lit(""))
-    signs = src.select(F.lower(F.regexp_extract(url, parts, 1)).alias("host"),
-                       F.when(url.rlike(parts), F.regexp_extract(url, parts, 2)).otherwise(url).alias("path"),
-                       "page_id", "key", "html").mapInArrow(_signs, SIGNS)
-    signs = stored(signs, "page-lines")
+    parsed = stored(src.select(F.lower(F.regexp_extract(url, parts, 1)).alias("host"),
+                               F.when(url.rlike(parts), F.regexp_extract(url, parts, 2)).otherwise(url).alias("path"),
+                               "page_id", "key", "url", "html").mapInArrow(_parsed, PAGES), "page-lines")
+    signs = parsed.select(*_names(SIGNS))
     order = ["host", "path", "page_id", "key"]
     ordered = _with_common(signs).repartitionByRange(wide(spark), *order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_compare, FOUND), "page-shared")
@@ -487,6 +506,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     gone = (found.where("gone is not null").select("page_id", "key", "gone")
             .unionByName(edges.mapInArrow(_at_edges, kind).where("size(gone) > 0")).dropDuplicates(["page_id", "key"]))
     gone = gone.withColumnsRenamed({"page_id": "p", "key": "k"})
-    rows = src.join(gone, src["page_id"].eqNullSafe(gone["p"]) & (src["key"] == gone["k"]), "left")
-    return (rows.select("page_id", "url", "html", "gone").mapInArrow(_texts, "page_id long, url string, text string")
-            .withColumn("n_chars", F.length("text").cast("long")))
+    rows = parsed.select("page_id", "key", "url", "text")
+    rows = rows.join(gone, rows["page_id"].eqNullSafe(gone["p"]) & (rows["key"] == gone["k"]), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

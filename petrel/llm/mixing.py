@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petrel.llm.runtime import setup, stored
+from petrel.llm.runtime import fresh, setup, stored
 
 SPACE = r"\x20\x09-\x0D"
 #: Leaves up to which their table is broadcast (about 100 bytes each); beyond, Spark joins by shuffle.
@@ -62,9 +62,8 @@ def _share(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
     family = Window.partitionBy(*parent)
     order = family.orderBy(F.col("cap") / F.col("w"), level)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
     nodes = (nodes.withColumn("upto", F.sum("cap").over(upto))
-             .withColumn("after", F.coalesce(F.sum("w").over(after), F.lit(0)))
+             .withColumn("after", F.sum("w").over(family) - F.sum("w").over(upto))
              .withColumn("full", F.col("upto") * F.col("w") + F.col("cap") * F.col("after") <= F.col("b") * F.col("w")))
     nodes = (nodes.withColumn("rest", F.col("b") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family))
              .withColumn("open_w", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(family)))
@@ -137,16 +136,20 @@ def mix_sources(docs: DataFrame, levels: list[str], weights: dict[str, dict[str,
 
 
 def take_documents(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``taken`` (see above) with their texts cut to what is taken; other columns as they are."""
-    one = Window.partitionBy("_mix_id", "_mix_hash").orderBy("_mix_hash")
-    rows = docs.withColumn("_mix_id", F.col(id_col).cast("long")).withColumn("_mix_hash", row_hash(docs)).withColumn(
-        "_mix_copy", F.row_number().over(one))
-    t = taken.select(F.col("doc_id").alias("_mix_of"), F.col("row_hash").alias("_mix_row"), "epoch",
-                     F.col("n_tokens").alias("_mix_n"), F.col("take").alias("_mix_take"))
-    t = t.withColumn("_mix_nth", F.row_number().over(
-        Window.partitionBy("_mix_of", "_mix_row", "epoch").orderBy(F.desc("_mix_take"))))
-    rows = rows.join(t, F.col("_mix_id").eqNullSafe(F.col("_mix_of")) & (F.col("_mix_hash") == F.col("_mix_row"))
-                     & (F.col("_mix_copy") == F.col("_mix_nth")))
-    cut = F.when(F.col("_mix_take") < F.col("_mix_n"), first_tokens(F.col(text_col), F.col("_mix_take"))).otherwise(
-        F.col(text_col))
-    return rows.withColumn(text_col, cut).select(*[f"`{c}`" for c in docs.columns])
+    """The documents of ``taken`` (see above) with their texts cut to what is taken; other columns as they are.
+
+    Rows equal in every column are interchangeable: such a document is kept once
+    and put out as often as it was taken.  Which ones repeat is found on ids and
+    hashes alone, and texts move once, to the join; ``docs`` may have any column names."""
+    key, row, size, take = fresh(docs, "mix_id", "mix_hash", "mix_n", "mix_take")
+    rows = docs.withColumn(key, F.col(f"`{id_col}`").cast("long")).withColumn(row, row_hash(docs))
+    same = lambda a, b: a[key].eqNullSafe(b[key]) & (a[row] == b[row])      # noqa: E731
+    often = stored(rows.select(key, row).groupBy(key, row).count().where("count > 1").drop("count"), "mix-often")
+    single = rows.join(often, same(rows, often), "left_anti")
+    once = rows.join(often, same(rows, often), "left_semi").dropDuplicates([key, row])
+    rows = single.unionByName(once)
+    t = taken.select(F.col("doc_id").alias(key), F.col("row_hash").alias(row), F.col("n_tokens").alias(size), F.col("take").alias(take))
+    rows = rows.join(t, same(rows, t)).drop(t[key], t[row])
+    text = F.col(f"`{text_col}`")
+    cut = F.when(F.col(take) < F.col(size), first_tokens(text, F.col(take))).otherwise(text)
+    return rows.select(*[cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

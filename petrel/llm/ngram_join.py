@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from petrel.llm.graph import components
-from petrel.llm.runtime import drop, ints, setup, squeeze, stored, unints, unsqueeze
+from petrel.llm.runtime import drop, ints, setup, squeeze, stored, unints, unsqueeze, wide
 from petrel.llm.textblocks import (MESSAGE, NO_ID, Block, buckets, exchange, mix, per_row, powers, prefix_hash,
                                    run_starts, text_blocks, unpack)
 
@@ -307,6 +307,23 @@ def _open_pairs(entries: DataFrame, heads: DataFrame, first: DataFrame, percent:
     return both[0].unionByName(both[1]).unionByName(both[2]).distinct()
 
 
+#: A digest is hot if it has more than this share of the rows that a shuffle partition gets on average.
+HOT_SHARE = 0.25
+
+
+def _with_lead(rows: DataFrame) -> DataFrame:
+    """(row, lead): the smallest row of each digest.
+
+    Hot digests, at most partitions / ``HOT_SHARE`` of them, are broadcast; the others are joined by a shuffle."""
+    lead = stored(rows.groupBy("digest").agg(F.min("row").alias("lead"), F.count("*").alias("k")), "set-leads")
+    total = lead.agg(F.coalesce(F.sum("k"), F.lit(0))).head()[0]
+    limit = max(2.0, total * HOT_SHARE / wide(rows.sparkSession))
+    hot = lead.where(F.col("k") > limit).select("digest", F.col("lead").alias("hot"))
+    rows = rows.join(F.broadcast(hot), "digest", "left")
+    rest = rows.where("hot is null").drop("hot").join(lead.where(F.col("k") <= limit).drop("k"), "digest")
+    return rows.where("hot is not null").select("row", F.col("hot").alias("lead")).unionByName(rest.select("row", "lead"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
                 percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id."""
@@ -318,8 +335,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drop(blocks)
     ids = stored(sets.select("row", "doc_id", F.col("n").alias("n_shingles")), "set-ids")
     some = sets.where("digest is not null")
-    lead = some.groupBy("digest").agg(F.min("row").alias("lead"))
-    copies = stored(some.select("row", "digest").join(lead, "digest").select("row", "lead"), "set-copies")
+    copies = stored(_with_lead(some.select("row", "digest")), "set-copies")
     firsts = copies.where("row = lead").select("row")
     reps = stored(some.join(firsts, "row", "left_semi").select("row", "n", "body"), "set-firsts")
     drop(sets)

@@ -325,13 +325,17 @@ def posterior(rows: DataFrame, rates: DataFrame, rate: float, host: str, path: s
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: str = "source",
-             path: str = "lang") -> tuple[DataFrame, Model, DataFrame, float]:
-    """One row per document (doc_id, host, path, p_document, site_rate, p_bad, kept); the model, the rates, the overall rate."""
+             path: str = "lang", carry: list[str] = ()) -> tuple[DataFrame, Model, DataFrame, float]:
+    """One row per document (doc_id, host, path, p_document, site_rate, p_bad, kept); the model, the rates, the overall rate.
+
+    The columns ``carry`` of each document follow as ``carried_0``, ``carried_1`` .."""
     setup(docs.sparkSession)
     model = fit(docs, labels, id_col)
-    scored = _evidence(docs, model, [F.col(id_col).cast("long"), F.col(host).cast("string"), F.col(path).cast("string")])
+    scored = _evidence(docs, model, [F.col(id_col).cast("long"), F.col(host).cast("string"), F.col(path).cast("string"),
+                                     *[F.col(f"`{c}`") for c in carry]])
     scored = stored(scored.select(F.col("c1").alias("doc_id"), F.col("c2").alias("host"), F.col("c3").alias("path"),
-                                  F.col("c0").alias("p_document")), "quality-evidence")
+                                  F.col("c0").alias("p_document"),
+                                  *[F.col(f"c{i + 4}").alias(f"carried_{i}") for i in range(len(carry))]), "quality-evidence")
     known = _worst(labels).select(F.col("id").alias("doc_id"), F.greatest("junk", "toxic").cast("double").alias("label"))
     evidence = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("label", "p_document").alias("p"))
     rates, rate = site_rates(evidence, "host", "path")
@@ -343,10 +347,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                      path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Texts do not move: they are scored again where they are read, against the
-    table of site rates."""
-    _, model, rates, rate = classify(docs, labels, id_col, host, path)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    scored = _evidence(docs, model, [F.col(host).cast("string"), F.col(path).cast("string"), *columns])
-    kept = posterior(scored, rates, rate, "c1", "c2", "c0").where("p_bad <= 0.5")
-    return kept.select(*[F.col(f"c{i + 3}").alias(c) for i, c in enumerate(docs.columns)])
+    Texts are scored once: the table of scores carries the columns, and is
+    filtered against the site rates where it lies."""
+    rows = classify(docs, labels, id_col, host, path, carry=docs.columns)[0].where("kept")
+    return rows.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])

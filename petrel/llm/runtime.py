@@ -44,6 +44,18 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def wide(spark: SparkSession) -> int:
     """Number of partitions that shuffles of this session use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

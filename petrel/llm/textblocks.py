@@ -122,12 +122,6 @@ def exchange(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
     return replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("replies"))
 
 
-def split_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values of a sorted array and the start of each."""
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], first
-
-
 def run_starts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination of the (sorted) columns begins."""
     if not len(columns[0]):

@@ -189,7 +189,10 @@ def write_tokens(docs: DataFrame, model_path: str, folder: str, end_id: int, len
     fs, path = file_system(folder)
     fs.create_dir(path + "/data", recursive=True)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    src = src.repartitionByRange(wide(spark), "doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, or without one, are told apart by their place in the input, so that they fill several partitions
+    order = ["doc_id", "place"]
+    src = src.withColumn("place", F.monotonically_increasing_id())
+    src = src.repartitionByRange(wide(spark), *order).sortWithinPartitions(*order).drop("place")
     model = spark.sparkContext.broadcast(text)      # the tokenizer's file, of fixed size
     src.mapInArrow(_write(folder + "/data", length, kind, end_id, model), INDEX).write.parquet(folder + "/index")
 

@@ -73,22 +73,54 @@ def test_empty_tables(frame):
     assert S.remove_repeats(none).count() == 0 and N.near_copies(none).count() == 0
 
 
-def test_run_index_against_plain_search():
+@pytest.mark.parametrize("letters", ["ab", "ab ", "abcdefgh"])
+@pytest.mark.parametrize("length", [5, 12, 50])
+def test_matching_statistics_equal_brute_force(letters, length):
+    rng = random.Random(length)
+    base = "".join(rng.choice(letters) for _ in range(400))
+
+    def cut(n):
+        for _ in range(n):
+            at = rng.randrange(len(base) - 80)
+            p = list(base[at:at + rng.randint(length, 76)])
+            if rng.random() < .5:
+                p[rng.randrange(len(p))] = rng.choice(letters + "z")
+            yield "".join(p).encode()
+    old, new = list(cut(60)), list(cut(25))
+    index = S.RunIndex(np.frombuffer(b"".join(old), np.uint8), np.array([len(p) for p in old]), length)
+    assert len(index.starts) < len(index.text) and len(index.tops) == len(index.tails) == len(index.starts)
+    rows = np.argsort([bytes(index.text[i:].astype(">u4")) for i in range(len(index.text))])
+    assert (index.tops == rows[index.starts]).all() and (index.tails == rows[np.append(index.starts[1:], len(rows)) - 1]).all()
+    size = np.array([len(p) for p in new])
+    got = {}
+    for step, (live, stat) in enumerate(index.statistics(np.frombuffer(b"".join(new), np.uint8), size), 1):
+        got |= {(k, size[k] - step): m for k, m in zip(live.tolist(), stat.tolist())}
+    for k, p in enumerate(new):
+        for i in range(len(p)):
+            m = max(j for j in range(len(p) - i + 1) if any(p[i:i + j] in t for t in old))
+            assert got[k, i] == m if m < length else got[k, i] >= length
+
+
+def test_earlier_strings_equal_plain_search():
     rng = random.Random(1)
-    base = "".join(rng.choice("ab ") for _ in range(300))
-    pieces = [base[i:i + rng.randint(12, 20)].encode() for i in (rng.randrange(280) for _ in range(80))]
-    pieces = [p for p in pieces if len(p) >= 12]
-    ids = np.sort(np.array([rng.randint(0, 30) for _ in pieces]))
-    size = np.array([len(p) for p in pieces])
-    index = S.RunIndex(np.frombuffer(b"".join(pieces), np.uint8), size, ids, 12)
-    assert len(index.starts) < len(index.doc)         # runs are fewer than symbols
-    got = index.earlier(size, 12)
-    first = {}
-    for p, i in zip(pieces, ids):
-        for s in range(len(p) - 11):
-            first[p[s:s + 12]] = min(first.get(p[s:s + 12], LAST), i)
-    for p, i, bits in zip(pieces, ids, got.tolist()):
-        assert bits == sum(1 << s for s in range(len(p) - 11) if first[p[s:s + 12]] < i)
+    base, length = "".join(rng.choice("abcd ") for _ in range(500)), 50
+    pieces = []
+    for d in range(40):
+        text = list(base)
+        for _ in range(rng.randint(0, 8)):
+            text[rng.randrange(len(text))] = rng.choice("xyz")
+        block = S.Block(0, np.array([d]), np.array([len(text)]), np.frombuffer("".join(text).encode(), np.uint8))
+        _, first, size, *_ = S.anchors(block, length)
+        pieces += [(bytes(block.body[s:s + n]), d // 2) for s, n in zip(first.tolist(), size.tolist())]
+    rng.shuffle(pieces)
+    size, ids = np.array([len(p) for p, _ in pieces]), np.array([i for _, i in pieces])
+    got = S.earlier_strings(np.frombuffer(b"".join(p for p, _ in pieces), np.uint8), size, ids, length)
+    low = {}
+    for p, i in pieces:
+        for s in range(len(p) - length + 1):
+            low[p[s:s + length]] = min(low.get(p[s:s + length], LAST), i)
+    for (p, i), bits in zip(pieces, got.tolist()):
+        assert bits == sum(1 << s for s in range(len(p) - length + 1) if low[p[s:s + length]] < i)
 
 
 def shingles(text, k=5):

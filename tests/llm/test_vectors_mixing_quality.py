@@ -278,7 +278,7 @@ def test_recall_of_routed_search(monkeypatch, frame):
 def test_queries_short_of_rows_visit_more_parts():
     import pyarrow as pa
     scores = np.array([[5., 4., 3., 2.]])
-    x = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([[1., 2.]])], ["id", "v"])
+    x = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([7]), pa.array([[1., 2.]])], ["row", "id", "v"])
     parts = [r["part"] for b in ann._blocks(lambda v: scores, 4, 1, np.array([2, 0, 6, 9]), 8)([x]) for r in b.to_pylist()]
     assert sorted(parts) == [0, 2]
     parts = [r["part"] for b in ann._blocks(lambda v: scores, 4, 1, np.array([2, 0, 6, 9]), 11)([x]) for r in b.to_pylist()]
