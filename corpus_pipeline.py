@@ -23,12 +23,21 @@ from pyspark.sql import functions as F
 
 from petrel.llm import bpe, mixing, ngram_join, quality, suffix_dedup
 from petrel.llm.queries import LEVELS, WEIGHTS, with_domain
-from petrel.llm.runtime import setup, stored, table
+from petrel.llm.runtime import fresh, setup, stored, table
 
 #: Share of the remaining tokens that the mixture takes.
 MIXTURE = (4, 5)
 
 
+def columns(docs: DataFrame) -> list:
+    """The columns of ``docs`` by name, whatever characters the names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def with_length(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     setup(spark)
     return quality.filter_documents(docs, table(spark, sf_dir, "labels"))
@@ -38,27 +47,27 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     setup(spark)
     groups = ngram_join.near_copies(docs)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are matched by id and text; equal ones lose the same bytes."""
     setup(spark)
+    key, text_hash, left = fresh(docs, "repeat_id", "repeat_hash", "repeat_text")
     done = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias("_repeat_id"), F.col("text_hash").alias("_repeat_hash"), F.col("text").alias("_repeat_text"))
-    changed = stored(done.dropDuplicates(["_repeat_id", "_repeat_hash"]), "texts-changed")
-    rows = docs.join(changed, F.col("doc_id").eqNullSafe(F.col("_repeat_id"))
-                     & (F.xxhash64("text") == F.col("_repeat_hash")), "left")
-    rows = rows.where("_repeat_text is null or _repeat_text <> ''").withColumn("text", F.coalesce("_repeat_text", "text"))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+        F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("text").alias(left))
+    changed = stored(done.dropDuplicates([key, text_hash]), "texts-changed")
+    rows = docs.join(changed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left")
+    rows = rows.where(F.col(left).isNull() | (F.col(left) != "")).withColumn("text", F.coalesce(left, "text"))
+    return with_length(rows).select(*columns(docs))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     setup(spark)
-    rows, weights = with_domain(docs, "_domain"), WEIGHTS | {"_domain": WEIGHTS["domain"]}
-    taken = mixing.mix_sources(rows, ["_domain", *LEVELS[1:]], weights, MIXTURE, seed=11, max_epochs=1)
-    out = mixing.take_documents(rows, taken)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    domain, = fresh(docs, "mix_domain")
+    rows, weights = with_domain(docs, domain), WEIGHTS | {domain: WEIGHTS["domain"]}
+    taken = mixing.mix_sources(rows, [domain, *LEVELS[1:]], weights, MIXTURE, seed=11, max_epochs=1)
+    return with_length(mixing.take_documents(rows, taken)).select(*columns(docs))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,8 +90,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL cannot express the classifier's fit or the merges of the last stage; tests hold the stages
-#: against brute force instead.
+#: SQL cannot express the classifier's fit or the merges of the last stage; tests hold each stage
+#: against a brute-force version on a small table with awkward rows.
 ORACLE_SQL = None
 
 PIPELINE_QUERIES = {"pipeline": run}
