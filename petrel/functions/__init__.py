@@ -1,4 +1,4 @@
-"""Column -> Column functions (JVM-side except ``strip_accents``)."""
+"""Column -> Column functions, all of them JVM expressions."""
 from petrel.functions.text import (  # noqa: F401
     clean_text, corpus_text, keep_chars, lower, norm_quotes, squeeze_space,
     strip_literal_newline, strip_punct, symbols_to_space,

@@ -21,7 +21,7 @@ def as_code(col: Column | str, width: int = CODE_WIDTH) -> Column:
     return F.when(F.length(c) < width, F.lpad(c, width, "0")).otherwise(c)
 
 
-def _tick_order(ts: str, tiebreak: str | None) -> Column:
+def tick_order(ts: str, tiebreak: str | None) -> Column:
     """(ts, tiebreak) as one decimal, which a hash aggregation can hold (a
     struct would make Spark sort every tick): microseconds, then the id."""
     at = F.unix_micros(F.col(ts).cast("timestamp")).cast("decimal(38,0)")
@@ -38,7 +38,7 @@ def build_daily_bars(ticks: DataFrame, code: str = "code", ts: str = "ts",
     aggregate partially on the map side, so a hot code with a third of all ticks
     is reduced per task before the shuffle.
     """
-    order = _tick_order(ts, tiebreak)
+    order = tick_order(ts, tiebreak)
     return (ticks.groupBy(F.col(code).alias("code"), F.to_date(ts).alias("dt"))
             .agg(F.min_by(price, order).alias("open"),
                  F.max(price).alias("high"),
@@ -47,6 +47,35 @@ def build_daily_bars(ticks: DataFrame, code: str = "code", ts: str = "ts",
                  F.count(F.lit(1)).alias("volume")))
 
 
+# --- stored bar states: late ticks without building all bars again -----------------------
+
+STATE = ["open_at", "open", "high", "low", "close_at", "close", "volume"]
+
+
+def bar_states(ticks: DataFrame, batch: Column | str, code: str = "code", ts: str = "ts", price: str = "price",
+               tiebreak: str | None = None) -> DataFrame:
+    """(batch, code, dt, ...): what one batch of ticks says of its bars, with the order of its first and last tick."""
+    order = tick_order(ts, tiebreak)
+    return (ticks.groupBy((F.col(batch) if isinstance(batch, str) else batch).alias("batch"),
+                          F.col(code).alias("code"), F.to_date(ts).alias("dt"))
+            .agg(F.min(order).alias("open_at"), F.min_by(price, order).alias("open"), F.max(price).alias("high"),
+                 F.min(price).alias("low"), F.max(order).alias("close_at"), F.max_by(price, order).alias("close"),
+                 F.count(F.lit(1)).alias("volume")))
+
+
+def add_states(store: DataFrame, more: DataFrame) -> DataFrame:
+    """The store with more states.  A batch that comes again says the same again and counts once, so adding is
+    idempotent, and the order of adding does not matter."""
+    return store.unionByName(more).dropDuplicates(["batch", "code", "dt"])
+
+
+def merged_bars(store: DataFrame) -> DataFrame:
+    """Daily bars of all ticks whose states are stored, as ``build_daily_bars`` makes them of the ticks."""
+    return (store.groupBy("code", "dt")
+            .agg(F.min_by("open", "open_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+                 F.max_by("close", "close_at").alias("close"), F.sum("volume").alias("volume")))
+
+
 def securities(master: DataFrame, names: DataFrame, market: str, code: str = "code",
                market_col: str = "market", name: str = "name") -> DataFrame:
     """(code, name) of one market: filter, then one join for the names."""

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrel.functions import arrays as A
+from petrel.operators.heavy import hot_words
 
 OOV_ID = 1
 
@@ -22,13 +23,16 @@ OOV_ID = 1
 def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str,
                  out: str, key: str = "doc_id", on_missing: str = "drop",
                  default: int | None = None,
-                 keep_last: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+                 keep_last: int | None = None, carry: Sequence[str] = (), hot: bool = False) -> DataFrame:
     """Map every element of ``arr`` through ``table`` (tkey -> tval), in order.
 
     ``on_missing``: "drop" the element, use ``default``, or "error".
     ``keep_last``: only the last n elements are looked up (exact when nothing is
     dropped, e.g. before left truncation to length n).
     Whether the table is broadcast is left to Spark, which knows its bytes.
+    ``hot`` is for tables beyond that: elements that would fill a shuffle
+    partition are found by their counts, and their entries (a few per partition)
+    are broadcast; only the others are shuffled.  ``df`` is then read three times.
     ``key`` with ``carry`` must be unique: a repeated one fails the job.
     """
     cols = [key, *carry]
@@ -36,7 +40,7 @@ def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str
     if keep_last is not None:
         ex = ex.where(F.col("_tok").isNull() | (F.col("_pos") >= F.col("_n") - F.lit(keep_last)))
     tbl = table.select(F.col(tkey).alias("_tok"), F.col(tval).alias("_val"))
-    joined = ex.join(tbl, "_tok", "left")
+    joined = head_tail_join(ex, tbl, hot_words(df, arr)) if hot else ex.join(tbl, "_tok", "left")
     val = F.col("_val")
     if on_missing == "default":
         val = F.coalesce(val, F.lit(default))
@@ -59,6 +63,18 @@ def lookup_array(df: DataFrame, arr: str, table: DataFrame, tkey: str, tval: str
     return grouped.where("_one").select(*cols, F.transform("_s", lambda s: s["_v"]).alias(out))
 
 
+def head_tail_join(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` left join ``table`` on _tok: entries of the ``hot`` words broadcast, the others' rows shuffled.
+
+    A hot word that the table does not hold is settled by the broadcast, too."""
+    hot = hot.select(F.col("word").alias("_tok"))
+    head = hot.join(table, "_tok", "left").withColumn("_hot", F.lit(True)).checkpoint()
+    marked = rows.join(F.broadcast(head), "_tok", "left")
+    settled = F.col("_hot").isNotNull() | F.col("_tok").isNull()
+    tail = marked.where(~settled).drop("_val", "_hot").join(table, "_tok", "left")
+    return marked.where(settled).drop("_hot").unionByName(tail)
+
+
 _LOW32 = 0xFFFFFFFF
 
 
@@ -73,6 +89,9 @@ def encode(df: DataFrame, vocab: DataFrame, num_words: int | None = None, oov: b
     """Words -> ids (E1).  Ids at or above ``num_words``, and unknown words, map
     to the OOV id 1, or are dropped when there is no OOV entry.
 
+    Without ``num_words`` the vocabulary may be too large to broadcast: hot words
+    go apart (see ``lookup_array``).
+
     ``keep_last`` (only with OOV, where lengths are preserved) looks up just the
     tail that left truncation will keep, so each document costs at most that
     many rows.
@@ -85,7 +104,7 @@ def encode(df: DataFrame, vocab: DataFrame, num_words: int | None = None, oov: b
     return lookup_array(df, tokens, table, "word", "idx", out, key=key,
                         on_missing="default" if oov else "drop",
                         default=OOV_ID if oov else None,
-                        keep_last=keep_last, carry=carry)
+                        keep_last=keep_last, carry=carry, hot=num_words is None)
 
 
 def pieces_to_ids(df: DataFrame, vocab: DataFrame, unk_id: int, pieces: str = "pieces",

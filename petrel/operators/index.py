@@ -1,4 +1,4 @@
-"""Dense row numbers without a one-partition window (C13, P1, K5 gaps).
+"""Dense row numbers without a one-partition window (C13, K5 gaps), and the hold-out split.
 
 A global ``row_number()`` moves every row into one task.  Here the rows are
 range-sorted across all partitions, each row gets its position inside its
@@ -9,6 +9,7 @@ that both uses see the same partition assignment, and the lineage is cut.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,23 +42,55 @@ def dense_index(df: DataFrame, order: Sequence[Column | str], name: str = "idx",
             .select(*cols, (local + F.col("_off") + F.lit(start)).alias(name)))
 
 
+#: Keys that divide the open range in a round of the selection; open keys that the driver may take.
+PIVOTS, FEW = 512, 4096
+
+
+def select_key(df: DataFrame, key: str, position: int):
+    """The key at a 0-based ``position`` in key order, by rounds of range counts (no sort, nothing stored).
+
+    Each round draws ``PIVOTS`` of the keys that are still open (the smallest by
+    hash, a top-k), counts the keys in each range between them, and goes on
+    with the range that holds the position, some 500 times smaller; the last
+    ``FEW`` keys are read.  Any orderable type; null keys do not count."""
+    keys = df.select(F.col(key).alias("k")).where("k is not null")
+    before, open_ = 0, keys
+    while True:
+        drawn = open_.orderBy(F.xxhash64("k")).limit(FEW + 1).collect()
+        values = sorted({r["k"] for r in drawn})
+        if len(drawn) <= FEW:
+            return sorted(r["k"] for r in drawn)[position - before]
+        if len(values) == 1 and not open_.where(F.col("k") != F.lit(values[0])).head(1):
+            return values[0]
+        pivots = values[:: max(1, len(values) // PIVOTS)]
+        cut = F.array(*[F.lit(p) for p in pivots])
+        # range i holds the keys from pivot i - 1 on, below pivot i
+        place = F.size(F.filter(cut, lambda p: p <= F.col("k")))
+        counts = sorted(open_.groupBy(place.alias("range")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for place, n in counts:
+            if position < before + n:
+                break
+            before += n
+        low = [] if place == 0 else [F.col("k") >= F.lit(pivots[place - 1])]
+        high = [] if place == len(pivots) else [F.col("k") < F.lit(pivots[place])]
+        for test in low + high:
+            open_ = open_.where(test)
+
+
 def tail_split(df: DataFrame, key: str, frac: float = 0.2, name: str = "split") -> DataFrame:
     """Hold out the last ``frac`` of rows in ``key`` order.
 
-    The cut is ``floor(n * (1 - frac))``, taken before any shuffling.  Only the
-    key column is ranked (the wide rows never move): the key at the cut
-    position becomes a scalar, and every row is labelled by comparing its key
-    with it.  Keys must be unique.
+    The cut is ``floor(n * (1 - frac))``, taken before any shuffling.  The key
+    at the cut is selected by counts over the key column (``select_key``), and
+    every row is labelled by comparing its key with it; no row moves.  Keys
+    must be unique.
     """
-    ranked = dense_index(df.select(key), [key], name="_row")
-    n = ranked.select(F.count(F.lit(1))).scalar()
-    cut = F.floor(n.cast("double") * F.lit(1.0 - frac))
-    first_valid = ranked.where(F.col("_row") >= cut).select(F.min(key)).scalar()
-    fv = F.col("_first_valid")   # projected once, then compared
-    is_train = fv.isNull() | (F.col(key) < fv)
-    return (df.withColumn("_first_valid", first_valid)
-            .withColumn(name, F.when(is_train, F.lit("train")).otherwise(F.lit("valid")))
-            .drop("_first_valid"))
+    n = df.select(F.count(key)).first()[0]
+    cut = math.floor(n * (1.0 - frac))
+    if cut >= n:
+        return df.withColumn(name, F.lit("train"))
+    first_valid = F.lit(select_key(df, key, cut))
+    return df.withColumn(name, F.when(F.col(key) >= first_valid, F.lit("valid")).otherwise(F.lit("train")))
 
 
 def id_gaps(df: DataFrame, id_col: str = "id") -> DataFrame:

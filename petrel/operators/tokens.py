@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petrel.functions import arrays as A
 from petrel.functions import text as T
+from petrel.operators.vocab import explode_tokens
 
 # --- fixed values -----------------------------------------------------------------
 # Short stop list of the first baseline.
@@ -43,18 +45,72 @@ def corpus_tokens(df: DataFrame, text: str = "text", out: str = "tokens",
     return toks
 
 
+#: Bits of the Bloom filter per stop word, and at most; stop-like words that are told apart by name.
+BLOOM_BITS, BLOOM_MOST, FALSE_HITS = 16, 1 << 23, 2_000
+
+
 def remove_stop(df: DataFrame, tokens: str, stop: Iterable[str] | DataFrame,
                 key: str = "doc_id", form: str = "form") -> DataFrame:
     """Remove stop words keeping order and repeats.
 
     A literal list becomes a hashed ``InSet`` inside one projection.  A stop
-    table, of whatever size, is joined: tokens are exploded, marked and
-    regrouped per document; Spark broadcasts the table if it is small.  ``key``
-    must be unique then (the job fails if it is not); a null array stays null.
+    table of whatever size becomes a Bloom filter of bounded size.  The words
+    of the corpus that pass it are the stop words and a few others; these
+    others are found by one distinct and one anti join, and kept by name.  So
+    no row of ``df`` leaves its task; only distinct words that pass are
+    shuffled.  If too many others pass (``FALSE_HITS``), rows go through an
+    exact join (``remove_stop_join``).  A null array stays null.
     """
     if not isinstance(stop, DataFrame):
         return df.withColumn(tokens, A.drop_listed(tokens, stop))
-    words = stop.select(F.col(form).alias("_w")).where(F.col("_w").isNotNull()).distinct()
+    words = stop.select(F.col(form).alias("_w")).where(F.col("_w").isNotNull()).distinct().checkpoint()
+    filter_ = bloom(words)
+    if filter_ is None:
+        return df
+    hit = filter_.may_hold
+    passing = explode_tokens(df.select(F.filter(tokens, hit).alias("_p")), "_p").distinct()
+    others = passing.join(words, passing["word"] == words["_w"], "left_anti").limit(FALSE_HITS + 1).collect()
+    if len(others) > FALSE_HITS:
+        return remove_stop_join(df, tokens, words, key)
+    keep = [r["word"] for r in others]
+    return df.withColumn(tokens, F.filter(tokens, lambda t: t.isNotNull() & (~hit(t) | t.isin(keep) if keep else ~hit(t))))
+
+
+class Bloom(NamedTuple):
+    """A Bloom filter as a constant column: 64 bits a number, two places a word."""
+    bits: Column
+    size: int
+
+    def places(self, word: Column) -> list[Column]:
+        h = F.xxhash64(word)
+        return [F.pmod(x, F.lit(self.size)) for x in (h, F.shiftright(h, 24))]
+
+    def may_hold(self, word: Column) -> Column:
+        """Always true for a word of the table."""
+        one, two = [F.getbit(F.get(self.bits, F.shiftright(p, 6).cast("int")), (p % 64).cast("int")) == 1
+                    for p in self.places(word)]
+        return one & two
+
+
+def bloom(words: DataFrame) -> Bloom | None:
+    """The filter of a table's words (_w); None without words."""
+    n = words.count()
+    if not n:
+        return None
+    size = 1 << max(10, min(BLOOM_MOST, BLOOM_BITS * n).bit_length())
+    places = words.select(F.explode(F.array(*Bloom(F.lit(None), size).places(F.col("_w")))).alias("p"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))
+    rows = places.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(bit).alias("b")).collect()
+    slots = [0] * (size // 64)
+    for r in rows:                              # bounded by BLOOM_MOST bits
+        slots[r["i"]] = r["b"]
+    # as text, a constant of any size is one literal
+    return Bloom(F.split(F.lit(",".join(map(str, slots))), ",").cast("array<long>"), size)
+
+
+def remove_stop_join(df: DataFrame, tokens: str, words: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``remove_stop`` by an exact join with ``words`` (_w): tokens are exploded, marked and regrouped per document;
+    Spark broadcasts the table if it is small.  ``key`` must be unique (the job fails if it is not)."""
     exploded = df.select(key, F.size(tokens).alias("_n"), F.posexplode_outer(tokens).alias("_pos", "_tok"))
     marked = exploded.join(words.withColumn("_stop", F.lit(True)), exploded["_tok"] == words["_w"], "left")
     kept = F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(), F.struct(F.col("_pos"), F.col("_tok")))

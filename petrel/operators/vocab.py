@@ -34,10 +34,14 @@ _POS_SPAN = 2 ** 31
 _DEC = "decimal(38,0)"
 
 
-def word_counts(df: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+def word_counts(df: DataFrame, tokens: str = "tokens", key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
     """(word, cnt, first_doc, first_pos): one hash aggregation with map-side
-    partial aggregation, so Zipf-heavy words collapse before the shuffle (V1)."""
+    partial aggregation, so Zipf-heavy words collapse before the shuffle (V1).
+
+    ``only`` (word) counts these words alone; the caller bounds its size, as it is broadcast."""
     ex = explode_tokens(df, tokens, key, with_pos=True)
+    if only is not None:
+        ex = ex.join(F.broadcast(only), "word", "left_semi")
     span = F.lit(_POS_SPAN).cast(_DEC)
     first = F.col(key).cast(_DEC) * span + F.col("pos").cast(_DEC)
     return (ex.groupBy("word")

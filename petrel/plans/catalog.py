@@ -19,6 +19,7 @@ from petrel.operators import bars as B
 from petrel.operators import clean as C
 from petrel.operators import encode as E
 from petrel.operators import ensemble as N
+from petrel.operators import heavy as HV
 from petrel.operators import index as I
 from petrel.operators import models as M
 from petrel.operators import stats as S
@@ -46,6 +47,7 @@ PAGE_SIZE = 20            # bars per code and request
 MARKET = "BUILDING"
 POINT_CODE = "000042"
 KEEP_CLASS = "[^A-Za-zÀ-ÿ ]"   # whitelist stand-in (the test text has no Hangul)
+LR_SLACK = 1e-3           # length of a gradient that counts as none
 NB_CANDIDATES = (50, 500, 5000)  # vocabulary caps of the select-best candidates
 # ---------------------------------------------------------------------------------------
 
@@ -227,6 +229,12 @@ def vocab_topk(spark, sf):
         "word", F.col("idx").cast("long").alias("idx"))
 
 
+def vocab_topk_bounded(spark, sf):
+    """The capped vocabulary by bounded summaries per task; tokenised once for both passes."""
+    train = _train_tokens(spark, sf).checkpoint()
+    return HV.top_vocab_bounded(train, NUM_WORDS).select("word", F.col("idx").cast("long").alias("idx"))
+
+
 def vocab_size(spark, sf):
     return V.vocab_size(X.piece_vocab(spark, X.capped_vocab(spark, sf))).select(
         F.col("vocab_size").cast("long"))
@@ -250,6 +258,12 @@ def enc_sequences_no_oov(spark, sf):
     return _ids_out(doc_seqs(spark, sf, oov=False))
 
 
+def enc_sequences_full(spark, sf):
+    """All words of the training vocabulary, without a cap: hot words apart, the others joined by a shuffle."""
+    toks = X.doc_tokens(spark, sf).checkpoint()
+    return _ids_out(E.encode(toks, X.train_vocab(spark, sf)))
+
+
 def _pieces(spark, sf):
     # one table for encoding and decoding
     table = X.piece_vocab(spark, X.capped_vocab(spark, sf)).checkpoint()
@@ -384,9 +398,9 @@ def _train_valid(spark, sf):
 
 def model_select_best(spark, sf):
     train, valid = _train_valid(spark, sf)
-    counts = V.word_counts(train).checkpoint()
-    cands = {f"nb_{n}": (lambda n: lambda tr: _nb_predict(tr, counts, n))(n) for n in NB_CANDIDATES}
-    return M.select_best(M.validate(cands, train, valid))
+    vocab = V.top_vocab(V.word_counts(train), max(NB_CANDIDATES)).select("word", "idx").checkpoint()
+    model = M.nb_fit_nested(train, vocab, NB_CANDIDATES)
+    return M.select_best(M.validate_nested(model, valid, [f"nb_{n}" for n in NB_CANDIDATES]))
 
 
 def _train_and_unlabelled(spark, sf):
@@ -404,6 +418,41 @@ def model_rf(spark, sf):
     return M.score(M.rf_fit(train), rest).select("doc_id", F.col("prediction").cast("long"))
 
 
+def cert_lr(spark, sf):
+    """The gradient of the penalised loss vanishes at the fitted weights, up to ``LR_SLACK`` (M2)."""
+    train, _ = _train_and_unlabelled(spark, sf)
+    model = M.lr_fit(train, max_iter=500, tol=1e-10)
+    grad = M.lr_gradient(model, train)
+    return grad.select(F.col("class").cast("long").alias("category"), (F.col("gradient") < LR_SLACK).alias("stationary"))
+
+
+def cert_rf(spark, sf):
+    """The saved trees, walked by joins, give every document the fitted forest's probabilities (M4)."""
+    train, rest = _train_and_unlabelled(spark, sf)
+    words = M.train_words(train)
+    model = M.rf_fit(train, words)
+    nodes = M.forest_nodes(spark, W.save_model(model, scratch_dir(spark, "forest"))).checkpoint()
+    table = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, feature int")
+    forest = model.stages[-1]
+    votes = M.forest_replay(nodes, rest, table, forest.getMaxDepth())
+    return _agree(M.score(model, rest), votes.select("doc_id", F.transform("votes", lambda v: v / forest.getNumTrees).alias("probs")))
+
+
+def cert_mlp(spark, sf):
+    """The layers' weights, applied by array expressions, give every vector the perceptron's probabilities (M3)."""
+    emb = _t(spark, sf, "embeddings").withColumnRenamed("vec_id", "doc_id").where(
+        F.col("embedding").isNotNull() & F.col("label").isNotNull())
+    model = M.mlp_fit(emb, label="label", vec="embedding", hidden=16, max_iter=20)
+    return _agree(M.score(model, emb, vec="embedding"), M.mlp_forward(model, emb))
+
+
+def _agree(fitted, recomputed):
+    """(doc_id, same): whether all probabilities agree to 9 places."""
+    other = recomputed.select("doc_id", F.col("probs").alias("q"))
+    close = F.forall(F.zip_with("probs", "q", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return fitted.join(other, "doc_id").select("doc_id", close.alias("same"))
+
+
 def sink_model(spark, sf):
     """A fitted model saved and restored predicts the same for every document (K4)."""
     train, rest = _train_and_unlabelled(spark, sf)
@@ -461,6 +510,16 @@ def bars_daily(spark, sf):
     return _bar_out(X.daily_bar_table(spark, sf))
 
 
+def bars_merged(spark, sf):
+    """Bars of ticks that came in three batches out of order, one of them twice, from the stored states."""
+    late = X.ticks(spark, sf).withColumn("batch", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    states = [B.bar_states(late.where(F.col("batch") == b), "batch", tiebreak="event_id") for b in (2, 0, 2, 1)]
+    store = states[0]
+    for more in states[1:]:
+        store = B.add_states(store, more)
+    return _bar_out(B.merged_bars(store))
+
+
 def sec_by_market(spark, sf):
     m = X.security_master(spark, sf)
     return B.securities(m.select("code", "market"), m.select("code", "name"), MARKET)
@@ -631,5 +690,11 @@ QUERIES: dict[str, Query] = {
     "sink_model": sink_model,
     "flow_submission": flow_submission,
     "bars_price_flag": bars_price_flag,
+    "vocab_topk_bounded": vocab_topk_bounded,
+    "enc_sequences_full": enc_sequences_full,
+    "cert_lr": cert_lr,
+    "cert_rf": cert_rf,
+    "cert_mlp": cert_mlp,
+    "bars_merged": bars_merged,
     "enc_model_input_pair": enc_model_input_pair,
 }

@@ -93,7 +93,7 @@ def with_(ctes: str, body: str) -> str:
 
 
 def enc_cte(name: str, oov: bool = True, src: str = "all_pos", keys: str = "doc_id",
-            base: str = "doc_tok", vocab: str = "vocab") -> str:
+            base: str = "doc_tok", vocab: str = "vocab", cap: int = NW) -> str:
     """Encoded sequences per key, empty lists for documents without ids."""
     if oov:
         agg = f"list(coalesce(v.idx, 1) ORDER BY a.pos)"
@@ -106,7 +106,7 @@ def enc_cte(name: str, oov: bool = True, src: str = "all_pos", keys: str = "doc_
   SELECT {', '.join('b.' + k.strip() for k in keys.split(','))}, coalesce(e.ids, []::BIGINT[]) AS ids
   FROM {base} b LEFT JOIN (
     SELECT {key_a}, {agg} AS ids
-    FROM {src} a LEFT JOIN {vocab} v ON v.word = a.word AND {idx} < {NW}
+    FROM {src} a LEFT JOIN {vocab} v ON v.word = a.word AND {idx} < {cap}
     GROUP BY {key_a}) e USING ({keys}))"""
 
 
@@ -294,6 +294,7 @@ ORACLE_SQL: dict[str, str] = {
                      sum(cnt)::BIGINT AS total_freq,
                      sum(CASE WHEN cnt < {Q.RARE_THRESHOLD} THEN cnt ELSE 0 END)::BIGINT AS rare_freq FROM wc)"""),
     "vocab_topk": with_(DOCS, f"SELECT word, idx FROM vocab WHERE idx < {NW}"),
+    "vocab_topk_bounded": with_(DOCS, f"SELECT word, idx FROM vocab WHERE idx < {NW}"),
     "vocab_size": with_(PIECES, "SELECT count(*) AS vocab_size FROM pv"),
     "vocab_id_gaps": with_(DOCS + """,
         df AS (SELECT word, count(DISTINCT doc_id) AS doc_count FROM train_pos GROUP BY word),
@@ -302,6 +303,7 @@ ORACLE_SQL: dict[str, str] = {
                   id <> coalesce(lag(id) OVER (ORDER BY id) + 1, 0) AS gap FROM kept"""),
     # encoding
     "enc_sequences": with_(SEQ, _ids_out("seq")),
+    "enc_sequences_full": with_(DOCS + ",\n" + enc_cte("seqf", cap=1 << 40), _ids_out("seqf")),
     "enc_sequences_no_oov": with_(SEQ0, _ids_out("seq0")),
     "enc_pieces": with_(PIECES, f"""SELECT doc_id, len(ids)::BIGINT AS n_ids, {ints('ids')} AS ids FROM (
         SELECT b.doc_id, coalesce(e.ids, []::BIGINT[]) AS ids FROM doc_tok b LEFT JOIN (
@@ -407,6 +409,11 @@ ORACLE_SQL: dict[str, str] = {
     "src_whole_text": "SELECT item_id, text FROM benchmark",
     "sink_arrays": with_(SEQ, _ids_out("seq")),
     "sink_vocab_json": with_(DOCS, "SELECT word, cnt, idx FROM vocab"),
+    "cert_lr": """SELECT category, true AS stationary FROM (SELECT dense_rank() OVER (ORDER BY lang) - 1 AS category
+                  FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))""",
+    "cert_rf": "SELECT doc_id, true AS same FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "cert_mlp": "SELECT vec_id AS doc_id, true AS same FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL",
+    "bars_merged": with_(BARS, f"SELECT {BAR_COLS} FROM bars"),
     "sink_model": "SELECT doc_id, true AS same FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "flow_submission": with_(DOCS + "," + LABELLED_CAT + f""",
         fl_tok AS (SELECT * FROM lab_tok WHERE len(toks) >= 1

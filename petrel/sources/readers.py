@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from petrel.operators.index import dense_index
+from petrel.sources.split_csv import read_split_csv
 
 CORPUS_SCHEMA = "doc_id long, data string, category int"
 STOP_SCHEMA_NAMES = ("form", "pos", "ratio")
@@ -34,14 +35,21 @@ def spread(df: DataFrame, *key: str, min_partitions: int | None = None) -> DataF
 
 
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA,
-                null_tokens: Sequence[str] = ()) -> DataFrame:
+                null_tokens: Sequence[str] = (), split: bool = True) -> DataFrame:
     """UTF-8 CSV with a header and quoted multi-line text.
 
+    Files are read by byte ranges (``petrel.sources.split_csv``), so one large
+    file is many tasks.  ``split=False`` reads a file in one task, by Spark's
+    own reader; it also takes bare quotes within unquoted fields.
+
     ``null_tokens`` lists strings read as null (pandas reads ``NA`` etc. as
     null; Spark keeps them as text unless told).
     """
-    df = (spark.read.options(**CSV_OPTIONS).option("header", "true")
-          .option("multiLine", "true").option("mode", "FAILFAST").schema(schema).csv(path))
+    if split:
+        df = read_split_csv(spark, path, schema, CSV_OPTIONS)
+    else:
+        df = (spark.read.options(**CSV_OPTIONS).option("header", "true")
+              .option("multiLine", "true").option("mode", "FAILFAST").schema(schema).csv(path))
     for tok in null_tokens:
         df = df.select(*[F.when(F.col(c) == F.lit(tok), F.lit(None)).otherwise(F.col(c)).alias(c)
                          if t == "string" else F.col(c) for c, t in df.dtypes])

@@ -104,8 +104,9 @@ def test_remove_stop_nulls_and_repeated_keys(spark):
     joined = {r[0]: r[1] for r in T.remove_stop(df, "tokens", stop).collect()}
     assert joined[2] is None and joined[3] == [] and joined[1] == ["b"]
     twice = spark.createDataFrame([(1, ["x"]), (1, ["y"])], "doc_id long, tokens array<string>")
+    assert sorted(r[1] for r in T.remove_stop(twice, "tokens", stop).collect()) == [["x"], ["y"]]   # no key is needed
     with pytest.raises(Exception, match="repeated key 1"):
-        T.remove_stop(twice, "tokens", stop).collect()
+        T.remove_stop_join(twice, "tokens", stop.select(F.col("form").alias("_w"))).collect()
     vocab = spark.createDataFrame([("x", 2, 2)], "word string, cnt long, idx int")
     with pytest.raises(Exception, match="repeated key 1"):
         E.encode(twice, vocab).collect()

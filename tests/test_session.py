@@ -28,7 +28,7 @@ def test_no_machine_local_checkpoints_on_a_cluster():
 
 
 def test_workers_import_the_package_from_any_folder(tmp_path):
-    """A plain session, started elsewhere and without PYTHONPATH, runs the accent query in its workers."""
+    """A plain session, started elsewhere and without PYTHONPATH, runs a query with Python workers."""
     code = (
         "import importlib.util as u, os\n"
         "os.environ.pop('PYTHONPATH', None)\n"
@@ -36,7 +36,7 @@ def test_workers_import_the_package_from_any_folder(tmp_path):
         "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
         f"spec = u.spec_from_file_location('entry_module', {str(ROOT_ENTRY)!r})\n"
         "m = u.module_from_spec(spec); spec.loader.exec_module(m)\n"
-        "print('ROWS', m.queries()['clean_accents'](s, '/root/testdata/sf0.001').count())\n")
+        "print('ROWS', m.queries()['src_csv_roundtrip'](s, '/root/testdata/sf0.001').count())\n")
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "ROWS 200" in out.stdout, out.stderr[-2000:]
 
