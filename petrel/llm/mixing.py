@@ -46,10 +46,10 @@ def first_tokens(text: Column, n: Column) -> Column:
 
 
 def _weight(level: str, weights: dict[str, int]) -> Column:
-    out = F.lit(1).cast("long")
-    for value, w in weights.items():
-        out = F.when(F.col(level) == value, F.lit(w).cast("long")).otherwise(out)
-    return out
+    out = None
+    for value, w in weights.items():        # one flat case, however many values
+        out = (F if out is None else out).when(F.col(level) == value, F.lit(w).cast("long"))
+    return F.lit(1).cast("long") if out is None else out.otherwise(F.lit(1).cast("long"))
 
 
 def _share(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
