@@ -5,7 +5,10 @@
     parts of nearly equal size with few edges between them.
 2.  *Route.*  A small network (one hidden layer) learns to name a vector's
     part.  It places every vector of the table in its most probable part, and
-    sends a query to its most probable parts.
+    sends a query to its most probable parts.  A sample divides a table into
+    ``SAMPLE`` / ``LEAST`` parts at most; where that leaves more than ``PART_ROWS``
+    rows in a part, the part is divided and routed in the same way, by a sample
+    of its own, in a task of its own; so parts grow in number, not in size.
 3.  *Rerank.*  The query is compared with every vector of those parts by
     Euclidean distance in double precision.
 
@@ -27,6 +30,8 @@ and a candidate of the other.
 """
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -38,7 +43,9 @@ from petrel.llm.runtime import setup, stored, wide
 SAMPLE = 4096       # vectors that the partition and the network are fitted on
 TRIALS = 128        # vectors whose true neighbours set the number of visits
 RECALL = 0.97       # share of them to be found
-PART_ROWS = 4096    # rows of a part aimed at; at most SAMPLE / 32 parts
+PART_ROWS = 4096    # rows of a part aimed at
+LEAST = 32          # sampled vectors of a part, at least
+CHUNK = 256         # queries whose parts are ordered together
 BLOCK = 2048
 QUERIES = 512
 
@@ -136,14 +143,79 @@ class Router:
         return h @ self.w[2] + self.w[3]
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 10, seed: int = 0) -> Router:
+def fit(sample: np.ndarray, rows: int, k: int = 10, seed: int = 0, part_rows: int | None = None) -> Router:
     rng = np.random.default_rng(seed)
-    parts = max(1, min(-(-rows // PART_ROWS), len(sample) // 32))
+    parts = max(1, min(-(-rows // (part_rows or PART_ROWS)), len(sample) // LEAST))
     if parts == 1:
         return Router(sample, np.zeros(len(sample), np.int64), 1, rng, hidden=1, epochs=0)
     return Router(sample, balanced_parts(neighbour_graph(sample, min(k, len(sample) - 1)), parts, rng), parts, rng)
 
 
+def log_share(z: np.ndarray) -> np.ndarray:
+    """Logarithms of the softmax of each row."""
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+class Parts:
+    """The router of the table and the routers of its divided parts; what is not divided is one part."""
+
+    def __init__(self, top: Router, below: dict[int, Router] | None = None):
+        self.top, self.below = top, below or {}
+        size = [len(self.below[p].w[3]) if p in self.below else 1 for p in range(len(top.w[3]))]
+        self.first = np.cumsum([0, *size])
+
+    def __len__(self) -> int:
+        return int(self.first[-1])
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """The part of each row."""
+        own = self.top(x).argmax(axis=1)
+        out = self.first[own]
+        for p in np.unique(own).tolist():
+            if p in self.below:
+                at = np.flatnonzero(own == p)
+                out[at] += self.below[p](x[at]).argmax(axis=1)
+        return out
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """The log probability of every part."""
+        top = log_share(self.top(x))
+        return np.concatenate([top[:, p:p + 1] + (log_share(self.below[p](x)) if p in self.below else 0.0)
+                               for p in range(top.shape[1])], axis=1)
+
+
+def _fit_part(rows: dict[int, int], part_rows: int):
+    def run(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        t = t.sort_by("row")
+        route = fit(matrix(t.column("v")), rows[part], seed=part + 1, part_rows=part_rows)
+        return pa.table({"part": pa.array([part], pa.int32()), "route": pa.array([pickle.dumps(route)], pa.binary())})
+    return run
+
+
+def divided(good: DataFrame, top: Router, rows: int) -> Parts:
+    """The parts of the table; each part above ``PART_ROWS`` rows gets a router fitted on at most ``SAMPLE`` of its rows."""
+    parts = len(top.w[3])
+    if rows <= 2 * parts * PART_ROWS:
+        return Parts(top)
+    shared = good.sparkSession.sparkContext.broadcast(top)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own = shared.value(matrix(batch.column("v"))).argmax(axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(own), batch.column("row"), batch.column("v")], ["part", "row", "v"])
+
+    placed = stored(good.select("row", "v").mapInArrow(run, "part int, row long, v array<double>"), "vector-top")
+    size = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect() if r["count"] > 2 * PART_ROWS}
+    order = Window.partitionBy("part").orderBy(F.xxhash64("row"), "row")
+    sample = (placed.where(F.col("part").isin(list(size))).withColumn("n", F.row_number().over(order))
+              .where(F.col("n") <= SAMPLE).drop("n"))
+    routes = sample.groupBy("part").applyInArrow(_fit_part(size, PART_ROWS), "part int, route binary").collect()   # one for each part
+    return Parts(top, {r["part"]: pickle.loads(r["route"]) for r in routes})
+
+
 # --- exact distances ---------------------------------------------------------
 
 class Nearest:
@@ -207,10 +279,18 @@ def _rerank(k: int, d: int):
     return run
 
 
-def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, least: int = 0):
-    """Rows of each part in blocks; ``visits`` > 1 puts a row into several parts.
+def _visited(scores: np.ndarray, visits: int, held_by: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, part): the most probable ``visits`` parts of each query, and more until they hold ``least`` rows."""
+    parts = np.argsort(-scores, axis=1, kind="stable")
+    before = np.cumsum(held_by[parts], axis=1) - held_by[parts]
+    use = ((np.arange(parts.shape[1]) < visits) | (before < least)) & (held_by[parts] > 0)
+    i, j = np.nonzero(use)
+    return i, parts[i, j]
+
 
-    With ``held_by``, the rows of each part, a row goes into more until they hold ``least``."""
+def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, least: int = 0):
+    """Rows of each part in blocks.  With ``held_by``, the rows of each part, a row goes into its ``visits`` most
+    probable parts, and into more until they hold ``least``."""
     def run(batches):
         held: dict[int, list] = {}
         count: dict[int, int] = {}
@@ -225,15 +305,17 @@ def _blocks(route, size: int, visits: int, held_by: np.ndarray | None = None, le
             if not batch.num_rows:
                 continue
             rows, ids, x = batch.column("row").to_numpy(), batch.column("id").to_numpy(), matrix(batch.column("v"))
-            parts = np.argsort(-route(x), axis=1, kind="stable")
             if held_by is None:
-                parts = parts[:, :visits]
+                where, part = np.arange(len(x)), route.place(x)
             else:
-                before = np.cumsum(held_by[parts], axis=1) - held_by[parts]
-                parts = np.where((np.arange(parts.shape[1]) < visits) | (before < least), parts, -1)
-                parts = np.where(held_by[parts] > 0, parts, -1)
-            for p in np.unique(parts[parts >= 0]).tolist():
-                at = np.flatnonzero((parts == p).any(axis=1))
+                found = [_visited(route(x[s:s + CHUNK]), visits, held_by, least) for s in range(0, len(x), CHUNK)]
+                where = np.concatenate([i + s * CHUNK for s, (i, _) in enumerate(found)])
+                part = np.concatenate([p for _, p in found])
+            order = np.argsort(part, kind="stable")
+            where, part = where[order], part[order]
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(part)]):
+                p, at = int(part[a]), where[a:b]
                 for s in range(0, len(at), size):
                     piece = at[s:s + size]
                     held.setdefault(p, []).append((rows[piece], ids[piece], x[piece]))
@@ -266,15 +348,28 @@ def _trial_parts(trials: dict, k: int, d: int):
     return run
 
 
-def visits_for(route: Router, trials: dict, true: dict[int, list[np.ndarray]], recall: float) -> int:
+def visits_for(route, trials: dict, true: dict[int, list[np.ndarray]], recall: float) -> int:
     """The smallest number of parts that hold this share of the trials' true neighbours."""
     order = np.argsort(-route(trials["x"]), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)                       # when a trial visits each part
-    needed = [place[i, int(route(v[None, :]).argmax())] + 1
-              for i, name in enumerate(trials["rows"].tolist()) for v in true.get(name, [])]
+    rank = np.argsort(order, axis=1)                        # when a trial visits each part
+    needed = [rank[i, int(p)] + 1 for i, name in enumerate(trials["rows"].tolist())
+              if name in true for p in route.place(np.array(true[name]))]
     return int(np.quantile(needed, recall, method="higher")) if needed else 1
 
 
+class Shared:
+    """Parts that workers read from a broadcast."""
+
+    def __init__(self, parts):
+        self.parts = parts
+
+    def __call__(self, x):
+        return self.parts.value(x)
+
+    def place(self, x):
+        return self.parts.value.place(x)
+
+
 def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = RECALL, id_col: str = "vec_id",
             vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows of each row whose id is divisible by ``every``."""
@@ -292,9 +387,9 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
     tried = picked[-TRIALS:]
     # the trials are apart from what the router learns, unless the table is that small
     sample = np.array([r["v"] for r in (picked[:-TRIALS] if len(picked) > 2 * TRIALS else picked)])
-    route = fit(sample, rows)
-    shared = spark.sparkContext.broadcast(route)                                # bounded by SAMPLE and the length
-    parts = len(route.w[3])
+    route = divided(good, fit(sample, rows), rows)
+    shared = spark.sparkContext.broadcast(route)        # bounded by SAMPLE and the length: a router, and one for each part
+    parts = len(route)
     visits = 1
     if parts > 1:
         trials = {"rows": np.array([r["row"] for r in tried]), "x": np.array([r["v"] for r in tried])}
@@ -305,9 +400,7 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, recall: float = R
             near.setdefault(r["query"], []).append(np.array(r["v"]))
         visits = visits_for(route, trials, near, recall)
 
-    def router(x):
-        return shared.value(x)
-
+    router = Shared(shared)
     index = stored(good.mapInArrow(_blocks(router, BLOCK, 1), BLOCKS), "vector-parts")
     asked = good.where(F.col("id") % every == 0)
     held_by = np.zeros(parts, np.int64)

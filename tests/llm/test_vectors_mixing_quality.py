@@ -275,6 +275,29 @@ def test_recall_of_routed_search(monkeypatch, frame):
     assert len(got) == 180 and hits >= 0.93 * 1800
 
 
+def test_parts_grow_in_number_with_the_rows(monkeypatch, frame):
+    monkeypatch.setattr(ann, "PART_ROWS", 60)
+    monkeypatch.setattr(ann, "SAMPLE", 400)
+    monkeypatch.setattr(ann, "TRIALS", 64)
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.normal(size=(50, 8)) * 4, 80, axis=0) + rng.normal(size=(4000, 8)) * 0.7
+    seen = {}
+    divided, visits_for = ann.divided, ann.visits_for
+    monkeypatch.setattr(ann, "divided", lambda good, route, rows: seen.setdefault("parts", divided(good, route, rows)))
+    monkeypatch.setattr(ann, "visits_for", lambda *a: seen.setdefault("visits", visits_for(*a)))
+    got = {}
+    for r in ann.nearest(frame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=20).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    parts = seen["parts"]
+    assert len(parts.top.w[3]) <= 12 and len(parts) >= 30
+    size = np.bincount(parts.place(x), minlength=len(parts))
+    assert size.max() < 6 * 60 and np.allclose(np.exp(parts(x[:50])).sum(axis=1), 1)
+    hits = sum(len(found & set(np.argsort(((x - x[q]) ** 2).sum(axis=1) + 1e9 * (np.arange(4000) == q))[:10].tolist()))
+               for q, found in got.items())
+    print("parts", len(parts), "visits", seen["visits"], "recall", hits / 10 / len(got))
+    assert len(got) == 200 and hits >= 0.9 * 2000 and seen["visits"] < len(parts) // 2
+
+
 def test_queries_short_of_rows_visit_more_parts():
     import pyarrow as pa
     scores = np.array([[5., 4., 3., 2.]])
