@@ -329,7 +329,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, n_shingles, component_id."""
     setup(docs.sparkSession)
     blocks = text_blocks(docs, id_col, text_col, "shingle-blocks")
-    n = buckets(docs)
+    n = buckets(blocks)
     counts = exchange(blocks.mapInArrow(_ask_counts(n, words), "block long, bucket int, data binary"), _answer_counts)
     sets = stored(blocks.join(counts, "block", "left").mapInArrow(_open_sets(words, percent), SETS_SCHEMA), "sets")
     drop(blocks)

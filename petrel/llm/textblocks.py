@@ -87,8 +87,14 @@ def text_blocks(docs: DataFrame, id_col: str, text_col: str, name: str) -> DataF
     return stored(src.mapInArrow(_packer(), BLOCK_SCHEMA), name)
 
 
-def buckets(df: DataFrame) -> int:
-    return 4 * wide(df.sparkSession)
+#: Blocks of text for each bucket of an exchange, at most.
+PER_BUCKET = 16
+
+
+def buckets(blocks: DataFrame) -> int:
+    """Buckets of an exchange between ``blocks``: four for each shuffle partition, and more as there are more blocks, so
+    that what one bucket holds does not grow with the table."""
+    return max(4 * wide(blocks.sparkSession), -(-blocks.count() // PER_BUCKET))
 
 
 def per_row(columns: dict[str, pa.DataType], make: Callable[[dict], Iterator[dict]]):
