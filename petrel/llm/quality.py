@@ -335,7 +335,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: s
                                      *[F.col(f"`{c}`") for c in carry]])
     scored = stored(scored.select(F.col("c1").alias("doc_id"), F.col("c2").alias("host"), F.col("c3").alias("path"),
                                   F.col("c0").alias("p_document"),
-                                  *[F.col(f"c{i + 4}").alias(f"carried_{i}") for i in range(len(carry))]), "quality-evidence")
+                                  *[F.col(f"c{i + 4}").alias(f"carried_{i}") for i in range(len(carry))]), "quality-evidence",
+                    compression="zstd")                 # it holds the texts
     known = _worst(labels).select(F.col("id").alias("doc_id"), F.greatest("junk", "toxic").cast("double").alias("label"))
     evidence = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("label", "p_document").alias("p"))
     rates, rate = site_rates(evidence, "host", "path")

@@ -23,15 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as a table in the shared folder (with the writer's ``options``) and read back.
 
     Later steps read files that every machine sees, so a lost executor costs
     only its running tasks, and nothing before this point is computed again.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
