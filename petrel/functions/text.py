@@ -89,7 +89,9 @@ def corpus_text(col: Column | str, newline_repl: str = " ") -> Column:
 
 # Word separators of the cleaned corpus: whitespace, the symbol class, and the
 # literal backslash-n (which C5 turns into a blank).
-CORPUS_SEPARATORS = "(?:" + WS[:-1] + "|" + SYMBOL_CLASS + "|" + "\\\\n" + ")+"
+# One class and one loop: an alternative per character would cost a step of the
+# stack for each of them.
+CORPUS_SEPARATORS = "(?:" + SYMBOL_CLASS[:-1] + WS[1:] + "|" + "\\\\n" + ")+"
 
 
 def corpus_words_text(col: Column | str) -> Column:

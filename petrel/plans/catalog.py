@@ -377,7 +377,8 @@ def split_tail(spark, sf):
 # --- models --------------------------------------------------------------------------------
 
 def _nb_predict(train_tok, counts, num_words):
-    model = M.nb_fit(train_tok, V.top_vocab(counts, num_words).select("word"))
+    # a few words, read by three steps of the fit: counted once
+    model = M.nb_fit(train_tok, V.top_vocab(counts, num_words).select("word").checkpoint())
     return lambda df: M.nb_score(model, df)
 
 

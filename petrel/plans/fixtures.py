@@ -40,14 +40,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, *key) if key else df
 
 
+def _benchmark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bench = T.corpus_tokens(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
+    return V.word_counts(bench)
+
+
+def _top(counts: DataFrame, n: int) -> DataFrame:
+    return counts.orderBy(F.col("cnt").desc(), F.col("word").asc()).limit(n)
+
+
 def stop_table(spark: SparkSession, sf_dir: str, n: int = STOP_TOP) -> DataFrame:
     """(form, pos, ratio): the n most frequent benchmark words, ties by word."""
-    bench = T.corpus_tokens(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"))
-    counts = V.word_counts(bench)
+    counts = _benchmark_counts(spark, sf_dir)
     total = counts.select(F.sum("cnt")).scalar()
-    top = counts.orderBy(F.col("cnt").desc(), F.col("word").asc()).limit(n)
-    return top.select(F.col("word").alias("form"), F.lit("NNG").alias("pos"),
-                      F.round(F.col("cnt") / total, 6).alias("ratio"))
+    return _top(counts, n).select(F.col("word").alias("form"), F.lit("NNG").alias("pos"),
+                                  F.round(F.col("cnt") / total, 6).alias("ratio"))
 
 
 def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +62,9 @@ def stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stop_list(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The stop words as a list: at most ``STOP_TOP`` words and the extra entries."""
-    return [r[0] for r in stop_words(spark, sf_dir).collect()]
+    """The stop words as a list, by one top-k job: at most ``STOP_TOP`` words and the extra entries."""
+    words = [r["word"] for r in _top(_benchmark_counts(spark, sf_dir), STOP_TOP).select("word").collect()]
+    return list(dict.fromkeys([*words, *T.EXTRA_STOP_WORDS]))
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str, stop: bool = True) -> DataFrame:
