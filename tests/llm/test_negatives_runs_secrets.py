@@ -201,6 +201,20 @@ def test_secrets_equal_brute_force(frame, spark):
     assert sum(len(r.spans) for r in only) == sum(sum(k == 2 for _, k, _ in brute_secrets(t or "")) for _, t in rows)
 
 
+def test_counts_of_kinds_in_the_query(spark, tmp_path):
+    from petrel.llm.queries import op13_secret_scan
+    texts = ["f" * 30, "token = abcdef12 " * 2 + "e" * 24, "AKIA" + "B" * 16 + " " + "e" * 24 + " secret: hunter22", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: [r.n_assign, r.n_access, r.n_hex] for r in op13_secret_scan(spark, str(tmp_path)).collect()}
+    assert got == {i: [sum(k == kind for _, k, _ in brute_secrets(t or "")) for kind in range(3)] for i, t in enumerate(texts)}
+
+
+def test_long_key_header_needs_no_stack(frame):
+    text = "-----BEGIN " + "A " * 50_000 + "-----BEGIN OPEN PRIVATE KEY----- token=abcdef12"
+    got = S.scan(frame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in got.spans] == brute_secrets(text)
+
+
 def test_trigram_queries():
     q = lambda p: {frozenset(c) for c in S.trigram_query(p) or []}     # noqa: E731
     assert S.trigram_query("[0-9a-f]{24,}") is None and S.trigram_query("ab|cdef") is None and S.trigram_query("(abc)?") is None
