@@ -237,3 +237,47 @@ def test_rows_stay_in_their_tasks(spark):
     df = X.doc_tokens(spark, SF, stop=False).select("doc_id", "tokens")
     out = T.remove_stop(df, "tokens", X.stop_words(spark, SF))
     assert plan(out).count("Exchange") == plan(df).count("Exchange") and "Join" not in plan(out)
+
+
+# --- E1-E3: look-ups by a bounded table; no shuffle by language ---------------------------------------
+
+@pytest.mark.parametrize("missing,default,last", [("default", 1, None), ("drop", None, None), ("default", 1, 2)])
+def test_bounded_table_moves_no_token(spark, monkeypatch, missing, default, last):
+    rows = [(1, "x", ["a", "b", "a", None, "c"]), (2, None, []), (3, "x", None), (None, "y", ["c", "d"]), (5, "x", ["zz"] * 5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, tokens array<string>").repartition(3)
+    table = spark.createDataFrame([("a", -5), ("b", 2**31 - 1), ("c", None), (None, 9)], "word string, idx int")
+    look = lambda: E.lookup_array(df, "tokens", table, "word", "idx", "ids", on_missing=missing, default=default,     # noqa: E731
+                                  keep_last=last, carry=("lang",))
+    got = look()
+    assert got.dtypes == [("doc_id", "bigint"), ("lang", "string"), ("ids", "array<int>")]
+    assert "Generate" not in plan(got) and "MapInArrow" in plan(got)
+    monkeypatch.setattr(E, "ENTRIES", 0)
+    assert sorted(map(str, got.collect())) == sorted(map(str, look().collect()))
+
+
+def test_bounded_table_keeps_its_checks(spark):
+    df = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "doc_id long, tokens array<string>")
+    table = spark.createDataFrame([("a", 2), ("b", 3)], "word string, idx int")
+    with pytest.raises(Exception, match="repeated key 1"):
+        E.encode(df, table, num_words=9).collect()
+    two = spark.createDataFrame([("a", 2), ("a", 3)], "word string, idx int")
+    with pytest.raises(Exception, match="repeated key 1"):
+        E.encode(df.limit(1), two, num_words=9).collect()
+    ids = spark.createDataFrame([(1, [3, 7])], "doc_id long, ids array<int>")
+    with pytest.raises(Exception, match="no table entry for 7"):
+        E.lookup_array(ids, "ids", table, "idx", "word", "tokens", on_missing="error").collect()
+
+
+def test_small_stop_table_counts_no_words(spark, monkeypatch):
+    monkeypatch.setattr(T, "FALSE_HITS", -1)            # a filter would go over to the join at once
+    df = spark.createDataFrame([(1, ["a", "b", None]), (1, ["b"]), (2, None)], "doc_id long, tokens array<string>")
+    out = T.remove_stop(df, "tokens", spark.createDataFrame([("a",), (None,)], "form string"))
+    assert sorted(map(str, [r.tokens for r in out.collect()])) == ["None", "['b']", "['b']"]
+    assert "Exchange" not in plan(out)
+
+
+def test_languages_are_not_shuffled(spark, no_broadcast):
+    toks = X.table(spark, SF, "documents").select("doc_id", "lang")
+    out = X.with_category(spark, toks, SF)
+    assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
+    assert out.count() == 1000
