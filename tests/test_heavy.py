@@ -281,3 +281,25 @@ def test_languages_are_not_shuffled(spark, no_broadcast):
     out = X.with_category(spark, toks, SF)
     assert "BroadcastHashJoin" in plan(out) and "SortMergeJoin" not in plan(out)
     assert out.count() == 1000
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+def test_gradient_groups_no_word_of_a_document(spark, copies):
+    rng = random.Random(copies)
+    rows = [(i, i % 3, rng.choices("abcdef", k=rng.randint(0, 9))) for i in range(60)]
+    train = spark.createDataFrame(rows + rows[:9] * (copies - 1), "doc_id long, category int, tokens array<string>").repartition(4)
+    words = list("abcde")
+    model = M.lr_fit(train, words, max_iter=3)
+    got = {r["class"]: r.gradient for r in M.lr_gradient(model, train).collect()}
+    # the same sums with rows joined by key
+    lr, n, copied = model.stages[-1], train.count(), {i: copies if i < 9 else 1 for i, _, _ in rows}
+    probs = {r.doc_id: r.probs for r in M.score(model, train).collect()}
+    for c in range(3):
+        res = {i: probs[i][c] - (y == c) for i, y, _ in rows}
+        d = [sum(copied[i] ** 2 * res[i] for i in res) / n]
+        for f, w in enumerate(words):
+            x = {i: copied[i] * t.count(w) for i, _, t in rows}
+            s1, s2 = (sum(copied[i] ** 2 * x[i] ** e for i in x) for e in (1, 2))
+            std, b = ((s2 - s1 * s1 / n) / (n - 1)) ** 0.5, lr.coefficientMatrix.toArray()[c][f]
+            d.append(sum(copied[i] ** 2 * x[i] * res[i] for i in x) / n / std + lr.getRegParam() * b * std)
+        assert got[c] == pytest.approx(sum(v * v for v in d) ** 0.5, rel=1e-6)
