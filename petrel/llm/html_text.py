@@ -18,8 +18,11 @@ host hold (a bar of links or of the licence) and that lie before the article's
 first or behind its last own line: an article keeps what some other page says
 too, such as a licence line, a quotation or the headings of a recipe.
 
-Every page is parsed once.  Only hashes of lines are sorted and compared; what
-is to go returns as line numbers, by which the stored lines are deleted.  Neighbours are adjacent in one
+Every page is parsed twice, so that no text is stored: first for the hashes of
+its lines, which alone are sorted and compared; what is to go returns as line
+numbers, and the second time the text is made without these lines.  Few such
+numbers are broadcast, so that the pages stay where they are; many are joined
+by a shuffle of the pages.  Neighbours are adjacent in one
 global order, whatever the partitions: runs of copies at the partitions' edges
 are answered apart, once the driver has seen four pages of each partition.
 
@@ -294,7 +297,7 @@ BARS = 4        # articles that must hold a line before it is a bar of the host
 SIGNS = "host string, path string, page_id long, key long, marked boolean, lines binary, flags binary"
 PAGE = {"host": pa.string(), "path": pa.string(), "marked": pa.bool_(), "lines": pa.binary(), "flags": pa.binary()}
 PAGE_TYPE = "struct<host: string, path: string, marked: boolean, lines: binary, flags: binary>"
-PAGES = SIGNS + ", url string, text string"
+TEXTS = "page_id long, url string, text string"
 FOUND = ("page_id long, key long, gone array<int>, part int, side int, tip int, "
          "host string, path string, marked boolean, lines binary, flags binary")
 FIRST, LAST, WHOLE = 0, 1, 2     # sides: a partition's first chain, its last chain, one chain that is both
@@ -308,16 +311,28 @@ def _hash(line: str) -> int:
 
 
 def _parsed(batches):
-    """A page's hashed lines, and the text that its structure leaves, a line feed between lines."""
+    """A page's hashed lines."""
     for batch in batches:
-        host, path, page_id, key, url, source = batch.columns
+        *rest, source = batch.columns
         found = [regions_of(x or "") for x in source.to_pylist()]
         best = [max((r for r, _ in t), default=0) for t in found]
         yield pa.RecordBatch.from_arrays(
-            [host, path, page_id, key, pa.array([x > 0 for x in best], pa.bool_()),
+            [*rest, pa.array([x > 0 for x in best], pa.bool_()),
              pa.array([np.array([_hash(x) for _, x in t], np.uint64).tobytes() for t in found], pa.binary()),
-             pa.array([bytes(INSIDE if b and r == b else 0 for r, _ in t) for t, b in zip(found, best)], pa.binary()),
-             url, pa.array(["\n".join(x for r, x in t if r == b) for t, b in zip(found, best)], pa.string())], _names(PAGES))
+             pa.array([bytes(INSIDE if b and r == b else 0 for r, _ in t) for t, b in zip(found, best)], pa.binary())],
+            _names(SIGNS))
+
+
+def _texts(batches):
+    """The text that a page's structure leaves, without the lines that are to go, a line feed between lines."""
+    for batch in batches:
+        page_id, url, source, gone = batch.columns
+        out = []
+        for x, g in zip(source.to_pylist(), gone.to_pylist()):
+            lines, _ = lines_of(x or "")
+            g = set(g or ())
+            out.append("\n".join(t for i, t in enumerate(lines) if i not in g))
+        yield pa.RecordBatch.from_arrays([page_id, url, pa.array(out, pa.string())], _names(TEXTS))
 
 
 def _counted(batches):
@@ -492,10 +507,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     src = src.withColumn("key", F.xxhash64("url", "html"))
     parts = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)(.*)$"
     url = F.coalesce("url", F.lit(""))
-    parsed = stored(src.select(F.lower(F.regexp_extract(url, parts, 1)).alias("host"),
-                               F.when(url.rlike(parts), F.regexp_extract(url, parts, 2)).otherwise(url).alias("path"),
-                               "page_id", "key", "url", "html").mapInArrow(_parsed, PAGES), "page-lines")
-    signs = parsed.select(*_names(SIGNS))
+    signs = stored(src.select(F.lower(F.regexp_extract(url, parts, 1)).alias("host"),
+                              F.when(url.rlike(parts), F.regexp_extract(url, parts, 2)).otherwise(url).alias("path"),
+                              "page_id", "key", "html").mapInArrow(_parsed, SIGNS), "page-lines")
     order = ["host", "path", "page_id", "key"]
     ordered = _with_common(signs).repartitionByRange(wide(spark), *order).sortWithinPartitions(*order)
     found = stored(ordered.mapInArrow(_compare, FOUND), "page-shared")
@@ -505,9 +519,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     edges = found.where("side is not null").drop("gone", "tip").join(F.broadcast(sides), ["part", "side"])
     gone = (found.where("gone is not null").select("page_id", "key", "gone")
             .unionByName(edges.mapInArrow(_at_edges, kind).where("size(gone) > 0")).dropDuplicates(["page_id", "key"]))
-    gone = gone.withColumnsRenamed({"page_id": "p", "key": "k"})
-    rows = parsed.select("page_id", "key", "url", "text")
-    rows = rows.join(gone, rows["page_id"].eqNullSafe(gone["p"]) & (rows["key"] == gone["k"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
-    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    # stored, so that Spark knows its size: a small one is broadcast and no page is shuffled
+    gone = stored(gone.withColumnsRenamed({"page_id": "p", "key": "k"}), "page-gone")
+    rows = src.join(gone, src["page_id"].eqNullSafe(gone["p"]) & (src["key"] == gone["k"]), "left")
+    texts = rows.select("page_id", "url", "html", "gone").mapInArrow(_texts, TEXTS)
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -276,3 +276,25 @@ def test_differencing_decides_in_articles(frame):
     text = {r["page_id"]: r["text"] for r in got}
     assert all(text[i] == f"own {i}" + "\nA quotation of some" * (i < 3) for i in range(8))
     assert all(text[20 + i] == f"Shared by two\nfew {i}" for i in range(2))
+
+
+def test_texts_of_pages_are_neither_stored_nor_shuffled(monkeypatch, frame):
+    kept = []
+    monkeypatch.setattr(html_text, "stored", lambda df, name, _of=html_text.stored: kept.append(df.columns) or _of(df, name))
+    rows = template_rows()
+    out = html_text.main_text(frame([r[:3] for r in rows], "page_id long, url string, html string"))
+    assert len(out.collect()) == len(rows)
+    assert kept and not {"text", "html"} & {c for columns in kept for c in columns}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_many_lines_to_delete_are_joined_by_a_shuffle(spark, frame):
+    rows = template_rows()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = html_text.main_text(frame([r[:3] for r in rows], "page_id long, url string, html string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r["page_id"]: r["text"].split("\n") for r in got} == {r[0]: r[3] for r in rows}
