@@ -83,3 +83,11 @@ def test_long_keys_stay_whole(spark):
 def test_bars_are_hash_aggregated(spark):
     plan = X.daily_bar_table(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_merged_bars_hold_one_aggregation_at_a_time(spark):
+    from petrel.plans.catalog import QUERIES
+    merged, daily = (QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("bars_merged", "bars_daily"))
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, daily.collect()))
+    # partial and final, of the merged bars only: the states and the store were aggregated before
+    assert str(merged._jdf.queryExecution().sparkPlan()).count("HashAggregate(") == 2
