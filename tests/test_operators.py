@@ -1,5 +1,6 @@
 """Operator properties and brute-force checks."""
 import numpy as np
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -218,3 +219,39 @@ def test_lookup_int_values_any_sign(spark):
     tbl = spark.createDataFrame([("a", -7), ("b", 2147483647), ("c", -2147483648)], "k string, v int")
     got = {r["doc_id"]: r["o"] for r in E.lookup_array(df, "t", tbl, "k", "v", "o").collect()}
     assert got == {0: [-7, 2147483647, -2147483648, -7], 1: []}
+
+
+def _blocks(spark, monkeypatch, rows, table, block=5, **kw):
+    monkeypatch.setattr(E, "BLOCK", block)
+    df = spark.createDataFrame(rows, "doc_id long, category int, tokens array<string>").repartition(3)
+    out = E.lookup_array(df, "tokens", spark.createDataFrame(table, "word string, idx int"), "word", "idx", "ids", hot=True,
+                         carry=("category",), **kw)
+    return sorted(((r["doc_id"], r["category"], r["ids"]) for r in out.collect()), key=lambda r: (r[0] is None, r[0] or 0)), out
+
+
+def test_large_tables_meet_the_distinct_elements_of_blocks(spark, monkeypatch):
+    rows = [(i, None if i % 3 else i, ["hot", f"w{i % 7}", None, "new", "hot"]) for i in range(40)]
+    rows += [(None, 1, ["hot"]), (100, 2, []), (101, 3, None), (102, 4, [None])]
+    table = [("hot", 2), *((f"w{i}", 10 + i) for i in range(6)), (None, 99)]
+    ids = dict(table) | {None: None}
+    for kw in ({"on_missing": "default", "default": 1}, {"on_missing": "drop"},
+               {"on_missing": "default", "default": 1, "keep_last": 2}):
+        got, out = _blocks(spark, monkeypatch, rows, table, **kw)
+        cut = kw.get("keep_last", 99)
+        want = [(k, c, [x for x in (ids.get(w, kw.get("default")) for w in (t or [])[-cut:] if w is not None) if x is not None])
+                for k, c, t in rows]
+        assert got == sorted(want, key=lambda r: (r[0] is None, r[0] or 0))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan       # no row per token
+
+
+def test_blocks_fail_on_repeated_keys_and_elements(spark, monkeypatch):
+    table = [("a", 2), ("b", 3)]
+    with pytest.raises(Exception, match="repeated key 7"):
+        _blocks(spark, monkeypatch, [(7, 1, ["a"]), (7, 1, ["b", "a"])], table)
+    got, _ = _blocks(spark, monkeypatch, [(7, 1, ["a"]), (7, 1, []), (8, 1, None), (8, 1, [])], table)
+    assert got == [(7, 1, [2]), (8, 1, [])]
+    with pytest.raises(Exception, match="twice"):
+        _blocks(spark, monkeypatch, [(7, 1, ["a"])], [*table, ("a", 4)])
+    with pytest.raises(Exception, match="no table entry for c"):
+        _blocks(spark, monkeypatch, [(7, 1, ["a", "c"])], table, on_missing="error")
