@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from petrel.llm import bpe, mixing, ngram_join, quality, suffix_dedup
 from petrel.llm.queries import LEVELS, WEIGHTS, with_domain
-from petrel.llm.runtime import fresh, setup, stored, table
+from petrel.llm.runtime import drop, fresh, setup, stored, table
 
 #: Share of the remaining tokens that the mixture takes.
 MIXTURE = (4, 5)
@@ -51,15 +51,19 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows are matched by id and text; equal ones lose the same bytes."""
+    """Rows are matched by id and text; equal ones lose the same bytes.
+
+    What is stored and matched is where the bytes go, not the texts that are left."""
     setup(spark)
-    key, text_hash, left = fresh(docs, "repeat_id", "repeat_hash", "repeat_text")
-    done = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select(
-        F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("text").alias(left))
-    changed = stored(done.dropDuplicates([key, text_hash]), "texts-changed")
+    key, text_hash, spans = fresh(docs, "repeat_id", "repeat_hash", "repeat_spans")
+    done = suffix_dedup.remove_repeats(docs, with_text=False, with_spans=True)
+    changed = stored(done.where("spans is not null").select(
+        F.col("doc_id").alias(key), F.col("text_hash").alias(text_hash), F.col("spans").alias(spans))
+        .dropDuplicates([key, text_hash]), "spans-removed")
+    drop(done)
     rows = docs.join(changed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(text_hash)), "left")
-    rows = rows.where(F.col(left).isNull() | (F.col(left) != "")).withColumn("text", F.coalesce(left, "text"))
-    return with_length(rows).select(*columns(docs))
+    rows = suffix_dedup.cut_spans(rows.select(*columns(docs), spans), "text", spans)
+    return with_length(rows.where(F.col(spans).isNull() | (F.col("text") != ""))).select(*columns(docs))
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

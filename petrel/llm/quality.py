@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petrel.llm.runtime import setup, stored
+from petrel.llm.runtime import drop, fresh, setup, stored
 
 SAMPLE = 8000            # labelled documents that the models are fitted on
 BINS = 12
@@ -232,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
     rows = sample.mapInArrow(_measure, MEASURES).collect()
     model = Model()
     if not rows:
+        drop(sample)
         return model
     x = np.array([r["x"] for r in rows])
     junk, toxic = np.array([r["junk"] for r in rows]), np.array([r["toxic"] for r in rows])
@@ -252,6 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
         h, y = np.array([r["h"] for r in hits]), np.array([r["toxic"] for r in hits])
         order = np.lexsort(h.T)
         model.toxic = logistic(h[order], y[order], ridge=0.1)
+        drop(counts)
+    drop(sample)
     return model
 
 
@@ -335,8 +338,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", host: s
                                      *[F.col(f"`{c}`") for c in carry]])
     scored = stored(scored.select(F.col("c1").alias("doc_id"), F.col("c2").alias("host"), F.col("c3").alias("path"),
                                   F.col("c0").alias("p_document"),
-                                  *[F.col(f"c{i + 4}").alias(f"carried_{i}") for i in range(len(carry))]), "quality-evidence",
-                    compression="zstd")                 # it holds the texts
+                                  *[F.col(f"c{i + 4}").alias(f"carried_{i}") for i in range(len(carry))]), "quality-evidence")
     known = _worst(labels).select(F.col("id").alias("doc_id"), F.greatest("junk", "toxic").cast("double").alias("label"))
     evidence = scored.join(known, "doc_id", "left").select("host", "path", F.coalesce("label", "p_document").alias("p"))
     rates, rate = site_rates(evidence, "host", "path")
@@ -348,7 +350,15 @@ def filter_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
                      path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Texts are scored once: the table of scores carries the columns, and is
-    filtered against the site rates where it lies."""
-    rows = classify(docs, labels, id_col, host, path, carry=docs.columns)[0].where("kept")
-    return rows.select(*[F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    Texts are scored once, and no text is stored: rows of one id, site and hash
+    of the text are kept or go together, so the keys of those that go are left out."""
+    key, other_host, other_path, text_hash = fresh(docs, "gone_id", "gone_host", "gone_path", "gone_hash")
+    hashed = docs.withColumn(text_hash, F.xxhash64(F.col("text").cast("string")))
+    rows = classify(hashed, labels, id_col, host, path, carry=[text_hash])[0].where("not coalesce(kept, false)")
+    gone = rows.select(F.col("doc_id").alias(key), F.col("host").alias(other_host), F.col("path").alias(other_path),
+                       F.col("carried_0").alias(text_hash)).distinct()
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(key))
+            & F.col(f"`{host}`").cast("string").eqNullSafe(F.col(other_host))
+            & F.col(f"`{path}`").cast("string").eqNullSafe(F.col(other_path))
+            & (F.xxhash64(F.col("text").cast("string")) == F.col(text_hash)))
+    return docs.join(gone, same, "left_anti")

@@ -1,5 +1,6 @@
 """Null and repeated ids, hot groups, contract cases of main texts, and every pipeline stage against a brute-force version."""
 import math
+import os
 import random
 import time
 from collections import Counter
@@ -193,6 +194,39 @@ def test_quality_stage(spark, docs):
     assert got <= Counter(rows) and Counter((i, s, x) for i, _, x, s, _ in got.elements()) == kept
 
 
+def scratch_bytes():
+    from pyspark.sql import SparkSession
+
+    from petrel.session import ensure_checkpoint_dir
+    top = ensure_checkpoint_dir(SparkSession.getActiveSession()).removeprefix("file:") + "/petrel-scratch"
+    return sum(os.lstat(f"{d}/{f}").st_size for d, _, names in os.walk(top) if "/package-" not in d for f in names)
+
+
+@pytest.mark.parametrize("name", ["quality", "repeats"])
+def test_stage_leaves_no_texts_behind(spark, frame, name):
+    """Whoever reads a stage's result finds its tables in the shared folder: they hold keys and places, no texts."""
+    rng = random.Random(1)
+    passages = [rng.randbytes(60).hex() for _ in range(4)]
+    rows = [(i, rng.randbytes(4_000).hex() + rng.choice(passages), "en", "src1", 0) for i in range(200)]
+    df, before = frame(rows, SCHEMA, extra=()), scratch_bytes()
+    left = {r["doc_id"]: r["text"] for r in stage(name)(spark, df, SF).collect()}
+    own = dict(r[:2] for r in rows)
+    assert all(own[i].startswith(t) for i, t in left.items())
+    assert name == "quality" or len(left) == 200 and sum(7_950 < len(t) <= 8_000 for t in left.values()) >= 196
+    assert scratch_bytes() - before < 0.1 * sum(map(len, own.values()))
+
+
+def test_kept_rows_of_one_id_go_by_their_texts(spark, frame):
+    """Rows of one id, site and text are kept or go together; others of that id do not follow them."""
+    rows = awkward() + [(9, None, "en", "src2", 7), (None, "", None, None, 8)]
+    df = frame(rows, SCHEMA, extra=CLASH)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    scored = quality.classify(df, labels, carry=["text"])[0].collect()
+    want = Counter((r["doc_id"], r["carried_0"], r["path"], r["host"]) for r in scored if r["kept"])
+    got = Counter(tuple(r) for r in quality.filter_documents(df, labels).select("doc_id", "text", "lang", "source").collect())
+    assert got == want and 0 < sum(want.values())
+
+
 def test_near_copies_stage(spark, docs):
     rows, df = docs
     gone = {i for i, _, c in brute_copies([r[:2] for r in rows]) if i is not None and c is not None and i != c}

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from petrel.llm import ngram_join as N
 from petrel.llm import suffix_dedup as S
@@ -68,6 +69,23 @@ def test_repeats_keep_whole_characters(spark, frame):
     assert all(got[i]["text_hash"] == h for i, h in hashes.items())
 
 
+def test_spans_cut_texts_as_they_are_left(frame):
+    rows = passages() + [(3000, "é" * 40), (3001, "x" + "é" * 40), (3002, None), (3003, "x" + "é" * 40 + "\n" + "é" * 30), (None, "é" * 40)]
+    df = frame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k long")
+    done = S.remove_repeats(df, length=49, with_spans=True).where("n_removed > 0").dropDuplicates(["doc_id", "text_hash"])
+    done = done.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("h"), "spans", F.col("text").alias("left"), "n_removed", "n_spans")
+    both = df.join(done, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h")), "left")
+    got = S.cut_spans(both, "text", "spans").collect()
+    own = dict(enumerate(t for _, t in rows))
+    assert len(got) == len(rows) and sum(r["spans"] is not None for r in got) > 20
+    for r in got:
+        if r["spans"] is None:
+            assert r["text"] == own[r["k"]]
+        else:
+            assert r["text"] == r["left"] and len(r["spans"]) == 2 * r["n_spans"]
+            assert sum(r["spans"][1::2]) - sum(r["spans"][::2]) == r["n_removed"] and r["spans"] == sorted(set(r["spans"]))
+
+
 def test_empty_tables(frame):
     none = frame([], "doc_id long, text string")
     assert S.remove_repeats(none).count() == 0 and N.near_copies(none).count() == 0
