@@ -119,6 +119,44 @@ def test_matching_statistics_equal_brute_force(letters, length):
             assert got[k, i] == m if m < length else got[k, i] >= length
 
 
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
+def test_pieces_leave_where_no_match_can_be_long_enough(letters):
+    rng = random.Random(len(letters))
+    length, base = 50, "".join(rng.choice(letters) for _ in range(300))
+    old = [base[i:i + 60].encode() for i in range(0, 240, 8)]
+    new = [p[:i] + b"?" + p[i + 1:] for p in old for i in (0, 5, 9, 12, 30, 58)] + [b"?" * 55, base[3:70].encode()]
+    index = S.RunIndex(np.frombuffer(b"".join(old), np.uint8), np.array([len(p) for p in old]), length)
+    body, size = np.frombuffer(b"".join(new), np.uint8), np.array([len(p) for p in new])
+
+    def long_and_steps(**least):
+        found, steps = {}, 0
+        for step, (live, stat) in enumerate(index.statistics(body, size, **least), 1):
+            steps += len(live)
+            found |= {(k, size[k] - step): m for k, m in zip(live.tolist(), stat.tolist()) if m >= length}
+        return found, steps
+    every, some = long_and_steps(), long_and_steps(least=length)
+    assert every[0].keys() == some[0].keys() and some[1] < every[1] == size.sum()
+    assert some[0].keys() == {(k, i) for k, p in enumerate(new) for i in range(len(p) - length + 1)
+                              if any(p[i:i + length] in t for t in old)}
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefgh"])
+def test_suffixes_stand_in_order_and_share_what_they_share(letters):
+    rng = random.Random(len(letters))
+    pieces = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 76))) for _ in range(40)]
+    pieces += pieces[:3] + [pieces[4][2:] or "a", "a" * 8, "a" * 7, "a"]
+    index = S.RunIndex(np.frombuffer("".join(pieces).encode(), np.uint8), np.array([len(p) for p in pieces]), 50)
+    text, n = index.text.tolist(), len(index.text)
+    rank, rows = S._suffix_order(index.words)
+    assert rows.tolist() == sorted(range(n), key=lambda i: text[i:]) and (rank[rows] == np.arange(n)).all()
+    a, b = np.append(rows[:-1], rng.choices(range(n), k=500)), np.append(rows[1:], rng.choices(range(n), k=500))
+    a, b = a[a != b], b[a != b]
+    most = np.array(rng.choices(range(60), k=len(a)))
+    want = [next(k for k in range(m + 1) if k == m or text[i + k:i + k + 1] != text[j + k:j + k + 1])
+            for i, j, m in zip(a.tolist(), b.tolist(), most.tolist())]
+    assert index.shared(a, b, most).tolist() == want and max(want) > 7
+
+
 def test_earlier_strings_equal_plain_search():
     rng = random.Random(1)
     base, length = "".join(rng.choice("abcd ") for _ in range(500)), 50
